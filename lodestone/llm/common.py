@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,3 +64,58 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def tokenizer_path(name: str, folder: str | None = None) -> str:
     """Place of a public vocabulary file; ``folder`` overrides the installed package."""
     return os.path.join(folder or os.environ.get("LODESTONE_TOKENIZERS", "/opt/tokenizers"), name)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Of sorted batches: tables that hold whole runs of equal ``keys`` (integer columns), with the runs' bounds.
+
+    A run may span batches; what a task holds at once is a batch and the longest run.
+    """
+    held: list[pa.RecordBatch] = []
+    last = None
+
+    def bounds(t: pa.Table) -> np.ndarray:
+        new = np.zeros(t.num_rows, dtype=bool)
+        new[0] = True
+        for k in keys:
+            v = t.column(k).to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return np.append(np.flatnonzero(new), t.num_rows)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        final = tuple(batch.column(k)[batch.num_rows - 1].as_py() for k in keys)
+        if final == last and held and tuple(batch.column(k)[0].as_py() for k in keys) == last:
+            held.append(batch)
+            continue
+        held.append(batch)
+        t = pa.Table.from_batches(held)
+        b = bounds(t)
+        if len(b) > 2:
+            yield t.slice(0, b[-2]), b[:-1]
+        held, last = t.slice(int(b[-2])).to_batches(), final
+    if held:
+        t = pa.Table.from_batches(held)
+        yield t, bounds(t)
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(id, component): of each id in ``edges`` (a, b) the smallest id that it reaches.
+
+    Smallest labels spread over the edges and labels jump to their labels'
+    labels; each round is written to the shared folder.
+    """
+    spark = edges.sparkSession
+    both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
+    label = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "labels")
+    for _ in range(rounds):
+        near = both.join(label, both["b"] == label["id"]).groupBy(F.col("a").alias("near_id")).agg(F.min("component").alias("near"))
+        step = label.join(near, label["id"] == near["near_id"], "left").select("id", F.col("component").alias("old"), F.least("component", "near").alias("new"))
+        jump = label.select(F.col("id").alias("jump_id"), F.col("component").alias("jump"))
+        fresh = cut(step.join(jump, step["new"] == jump["jump_id"], "left").select("id", "old", F.least("new", "jump").alias("component")), "labels")
+        done = fresh.where("old <> component").limit(1).count() == 0
+        label = fresh.select("id", "component")
+        if done:
+            return label
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
