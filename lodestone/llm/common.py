@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -119,3 +120,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if done:
             return label
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps, whose results are written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import best_fit_packing, language_id, media_columns, minhash_forest, quality_rules, template_decontamination, token_counts
+from lodestone.llm import best_fit_packing, language_id, media_columns, minhash_forest, quality_rules, suffix_dedup, template_decontamination, token_counts
 from lodestone.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), depth=50)
+
+
 def op6_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
@@ -38,5 +42,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(docs, quality_rules.learn(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_media_columns, op6_minhash_forest, op7_template_decontamination, op8_best_fit_packing, op9_language_id, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_media_columns, op5_suffix_dedup, op6_minhash_forest, op7_template_decontamination, op8_best_fit_packing, op9_language_id, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
