@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import best_fit_packing, language_id, media_columns, minhash_forest, quality_rules, suffix_dedup, template_decontamination, token_counts
+from lodestone.llm import best_fit_packing, language_id, line_dedup, media_columns, minhash_forest, quality_rules, suffix_dedup, template_decontamination, token_counts
 from lodestone.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.judged(table(spark, sf_dir, "documents"), threshold=1, least=16).drop("row")
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns.media_columns(table(spark, sf_dir, "documents"))
 
@@ -42,5 +46,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(docs, quality_rules.learn(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_media_columns, op5_suffix_dedup, op6_minhash_forest, op7_template_decontamination, op8_best_fit_packing, op9_language_id, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_media_columns, op5_suffix_dedup, op6_minhash_forest, op7_template_decontamination, op8_best_fit_packing, op9_language_id, op10_quality_rules)}
+ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE}
