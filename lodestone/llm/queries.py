@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import best_fit_packing, language_id, line_dedup, media_columns, minhash_forest, quality_rules, suffix_dedup, template_decontamination, token_counts
+from lodestone.llm import best_fit_packing, language_id, line_dedup, media_columns, minhash_forest, quality_rules, suffix_dedup, template_decontamination, token_counts, url_filters
 from lodestone.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), depth=50)
 
@@ -46,5 +50,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(docs, quality_rules.learn(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_media_columns, op5_suffix_dedup, op6_minhash_forest, op7_template_decontamination, op8_best_fit_packing, op9_language_id, op10_quality_rules)}
-ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_media_columns, op4_url_filters, op5_suffix_dedup, op6_minhash_forest, op7_template_decontamination, op8_best_fit_packing, op9_language_id, op10_quality_rules)}
+ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE, "op4_url_filters": url_filters.ORACLE}
