@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +64,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def trim() -> None:
+    """Give freed memory back: a Python worker lives on beside the next stages, which need it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every libc can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``kernel``, after which the worker gives its memory back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from kernel(batches)
+        trim()
+
+    return run
+
+
 def tokenizer_path(name: str, folder: str | None = None) -> str:
     """Place of a public vocabulary file; ``folder`` overrides the installed package."""
     return os.path.join(folder or os.environ.get("LODESTONE_TOKENIZERS", "/opt/tokenizers"), name)
