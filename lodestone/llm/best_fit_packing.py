@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, only, tokenizer_path
+from lodestone.llm.common import cut, only, tidy, tokenizer_path
 
 
 class OddSpace(Exception):
@@ -111,7 +111,7 @@ def pieces(docs: DataFrame, size: int, path: str, end_id: int) -> DataFrame:
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return only(docs, "doc_id", "text").mapInArrow(kernel, PIECES)
+    return only(docs, "doc_id", "text").mapInArrow(tidy(kernel), PIECES)
 
 
 def fillings(counts: list[int], room: int, effort: int = 400) -> list[tuple[int, tuple[int, ...]]]:
@@ -274,4 +274,4 @@ def pack(docs: DataFrame, size: int = 2048, end_id: int = 0, tokenizer: str | No
                 sequence[at], offset[at] = first[k] + place // each[k], base[k] + place % each[k] * n
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")], pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("at") - 1).alias("rank")).mapInArrow(kernel, PACKED)
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("at") - 1).alias("rank")).mapInArrow(tidy(kernel), PACKED)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import only, utf8
+from lodestone.llm.common import only, tidy, utf8
 
 WIDTHS = (256, 4096, 8192)
 FEATURES = sum(WIDTHS)
@@ -106,7 +106,7 @@ def learn(docs: DataFrame, per_language: int = 500, max_languages: int = 128, n_
             bits = np.packbits(presence([texts[i].encode() for i in keep]), axis=1)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(keep), batch.column("lang").take(keep), pa.array([b.tobytes() for b in bits], pa.binary())], names=["doc_id", "lang", "bits"])
 
-    rows = sorted(sample.mapInArrow(kernel, "doc_id long, lang string, bits binary").collect(), key=lambda r: (r["doc_id"], r["lang"]))
+    rows = sorted(sample.mapInArrow(tidy(kernel), "doc_id long, lang string, bits binary").collect(), key=lambda r: (r["doc_id"], r["lang"]))
     if not rows:
         return None
     x = np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in rows), np.uint8).reshape(len(rows), -1), axis=1)[:, :FEATURES]
@@ -133,4 +133,4 @@ def predict(docs: DataFrame, model: dict | None, parts: int = 4, part: int = 2)
                 yield pa.RecordBatch.from_arrays([part_.column("doc_id"), part_.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     read = only(docs, "doc_id", "text").withColumn("held_out", held_out(parts, part))
-    return read.mapInArrow(kernel, "doc_id long, held_out boolean, lang_pred string, score double")
+    return read.mapInArrow(tidy(kernel), "doc_id long, held_out boolean, lang_pred string, score double")

@@ -24,7 +24,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestone.llm.common import only, utf8
+from lodestone.llm.common import only, tidy, utf8
 
 UNIT = 192
 RATES = {
@@ -219,7 +219,7 @@ def media_columns(docs: DataFrame) -> DataFrame:
             rows = [media_row(t) for t in utf8(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]], names=names)
 
-    return only(docs, "doc_id", "text").mapInArrow(kernel, SCHEMA)
+    return only(docs, "doc_id", "text").mapInArrow(tidy(kernel), SCHEMA)
 
 
 PARSED = "n_frames int, sampling_hz int, n_samples long, duration_ns long, n_crc_ok int, n_crc_bad int, junk_bytes long, vbr string, tags map<string,string>, seek_offsets array<long>"
@@ -241,4 +241,4 @@ def parse_column(df: DataFrame, key: str, content: str) -> DataFrame:
                 rows.append((len(frames), hz, samples, samples * 1_000_000_000 // hz if hz else 0, sum(r == 1 for *_, r in frames), sum(r == 0 for *_, r in frames), found["junk"], found["table"] and found["table"]["kind"], {k: str(v) for k, v in found["tags"].items()}, [a for a, *_ in frames]))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]], names=[key, *[x.strip().split(" ")[0] for x in PARSED.replace("map<string,string>", "map").split(",")]])
 
-    return df.select(key, content).mapInArrow(kernel, f"`{key}` {kind}, {PARSED}")
+    return df.select(key, content).mapInArrow(tidy(kernel), f"`{key}` {kind}, {PARSED}")

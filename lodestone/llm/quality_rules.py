@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lodestone.llm.common import only
+from lodestone.llm.common import only, tidy
 from lodestone.llm.language_id import held_out
 
 STATISTICS = ("log_bytes", "upper", "digit", "symbol", "mark", "stop", "white", "high", "word_mean", "word_long", "distinct", "top_word", "same_next", "line_mean", "line_repeat", "symbol_words")
@@ -60,7 +60,7 @@ def with_statistics(df: DataFrame) -> DataFrame:
             values = np.array([statistics(t) for t in batch.column("text").to_pylist()], dtype=np.float64).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(values[:, k]) for k in range(len(names))]], names=[*batch.schema.names, *names])
 
-    return df.mapInArrow(kernel, schema)
+    return df.mapInArrow(tidy(kernel), schema)
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, above?, threshold)

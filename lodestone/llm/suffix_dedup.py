@@ -35,9 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, mix64, only, release, runs, shared_dir
+from lodestone.llm.common import cut, mix64, only, release, runs, shared_dir, tidy, trim
 
 GRAM = 16
+#: Windows whose grams are hashed at once, which bounds a task's memory.
+STRETCH = 1 << 19
+#: Bytes of run texts that a range orders at once.
+SHARE = 2_000_000
 MESSAGE = "block int, kind int, ids binary, a binary, b binary, c binary, d binary"
 FIELDS = ["block", "kind", "ids", "a", "b", "c", "d"]
 TYPES = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
@@ -53,6 +57,17 @@ def load(data: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
     return view[at].astype(np.uint64)
 
 
+def smallest_grams(data: np.ndarray, n: int, depth: int) -> np.ndarray:
+    """Of each of ``n`` windows the smallest hash of its grams."""
+    wide, size = depth - GRAM + 1, 1
+    u = load(data, slice(0, n + wide + 8))
+    low = mix64(mix64(u[: n + wide - 1]) + u[8 : n + wide + 7])
+    while size * 2 <= wide:  # by doubling
+        low = np.minimum(low[: len(low) - size], low[size:])
+        size *= 2
+    return np.minimum(low[:n], low[wide - size : wide - size + n])
+
+
 class Block:
     """The documents of a block and their runs of windows with one smallest gram."""
 
@@ -69,19 +84,14 @@ class Block:
             self.start = self.count = self.doc = np.zeros(0, np.int64)
             self.gram = np.zeros(0, np.uint64)
             return
-        wide = depth - GRAM + 1
-        u = load(self.data, slice(0, n + depth))
-        low = mix64(mix64(u[: n + wide - 1]) + u[8 : n + wide + 7])
-        size = 1
-        while size * 2 <= wide:  # smallest of each window by doubling
-            low = np.minimum(low[: len(low) - size], low[size:])
-            size *= 2
-        low = np.minimum(low[:n], low[wide - size : wide - size + n])
+        low = np.empty(n, np.uint64)
+        for at in range(0, n, STRETCH):
+            low[at : at + STRETCH] = smallest_grams(self.data[at : at + STRETCH + depth + 16], min(STRETCH, n - at), depth)
         valid = np.zeros(n + 1, dtype=np.int8)
         good = self.lengths >= depth
         np.add.at(valid, self.begins[good], 1)
         np.add.at(valid, np.minimum(ends[good] - depth + 1, n), -1)
-        valid = np.cumsum(valid[:n]) > 0
+        valid = np.cumsum(valid[:n], dtype=np.int8) > 0
         new = valid.copy()
         new[1:] &= (low[1:] != low[:-1]) | ~valid[:-1]
         new[self.begins[good]] = True
@@ -145,9 +155,12 @@ def radix(data: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.
     return live, bounds
 
 
-def first_docs(grams: np.ndarray, texts: list[bytes], low: np.ndarray, depth: int, most: int = 1_000_000) -> list[np.ndarray]:
-    """For each distinct run text: the smallest doc_id of each of its windows."""
-    out = [np.full(len(x) - depth + 1, v, dtype=np.int64) for x, v in zip(texts, low.tolist(), strict=True)]
+Span = tuple[int, int, int]
+
+
+def first_docs(grams: np.ndarray, texts: list[bytes], low: np.ndarray, depth: int, most: int = 500_000) -> list[list[Span]]:
+    """For each distinct run text: stretches of windows and the smallest doc_id that has them."""
+    out: list[list[Span]] = [[(0, len(x) - depth + 1, v)] for x, v in zip(texts, low.tolist(), strict=True)]
     order = np.argsort(grams, kind="stable")
     edge = np.flatnonzero(np.diff(grams[order], prepend=grams[order[0]] + np.uint64(1))) if len(order) else np.zeros(0, int)
     sizes = np.diff(np.append(edge, len(order)))
@@ -160,18 +173,26 @@ def first_docs(grams: np.ndarray, texts: list[bytes], low: np.ndarray, depth: in
             begin = np.cumsum(n) - n
             windows = n - depth + 1
             owner = np.repeat(np.arange(len(todo)), windows)
-            offset = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+            start = np.cumsum(windows) - windows
+            offset = np.arange(int(windows.sum())) - start[owner]
             live, bounds = radix(data, begin[owner] + offset, depth)
             if len(live):
-                least = np.minimum.reduceat(low[np.array(todo)][owner[live]], bounds[:-1])
-                value = np.repeat(least, np.diff(bounds))
-                for j, o, v in zip(owner[live].tolist(), offset[live].tolist(), value.tolist(), strict=True):
-                    out[todo[j]][o] = v
+                own = low[np.array(todo)]
+                value = own[owner]
+                value[live] = np.repeat(np.minimum.reduceat(own[owner[live]], bounds[:-1]), np.diff(bounds))
+                new = np.ones(len(value), dtype=bool)
+                new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+                first = np.flatnonzero(new)
+                last = np.append(first[1:], len(value))
+                for j in todo:
+                    out[j] = []
+                for j, p, q, v in zip(owner[first].tolist(), offset[first].tolist(), (last - start[owner[first]]).tolist(), value[first].tolist(), strict=True):
+                    out[todo[j]].append((p, q, v))
             todo, total = [], 0
         if e >= 0:
-            own = order[e : e + s].tolist()
-            todo += own
-            total += sum(len(texts[i]) for i in own)
+            own_ = order[e : e + s].tolist()
+            todo += own_
+            total += sum(len(texts[i]) for i in own_)
     return out
 
 
@@ -182,7 +203,7 @@ def remove_repeats(docs: DataFrame, depth: int = 50, block_bytes: int | None = N
     spark = docs.sparkSession
     read = only(docs, "doc_id", "text").where("doc_id is not null").select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("content"))
     total = read.agg(F.sum(F.length("content"))).first()[0] or 0
-    ranges = max(1, int(total // (block_bytes or min(64 << 20, max(6 << 20, total // 2000)))) + 1)
+    ranges = max(1, int(total // (block_bytes or min(64 << 20, max(3 << 20, total // 4000)))) + 1)
     name = f"lodestone_blocks_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/lodestone/{name}"
     laid = read.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(ranges)).cast("int"))
@@ -192,6 +213,7 @@ def remove_repeats(docs: DataFrame, depth: int = 50, block_bytes: int | None = N
     release(spark)
 
     def grams(_: tuple, t: pa.Table) -> pa.Table:
+        trim()
         b = Block(t, depth)
         key, doc = spot(b.gram, ranges), b.doc
         order = np.lexsort((doc, key))
@@ -230,10 +252,11 @@ def remove_repeats(docs: DataFrame, depth: int = 50, block_bytes: int | None = N
             yield from message(out).to_batches()
 
     sent = blocks.groupBy("block").applyInArrow(grams, "place int, block int, a binary, b binary")
-    back = cut(sent.repartition("place").sortWithinPartitions("place", "block").mapInArrow(shared, MESSAGE), "repeated")
+    back = cut(sent.repartitionById(ranges, F.col("place")).sortWithinPartitions("place", "block").mapInArrow(tidy(shared), MESSAGE), "repeated")
     release(spark)
 
     def texts(_: tuple, t: pa.Table, m: pa.Table) -> pa.Table:
+        trim()
         rows = []
         if t.num_rows and m.num_rows:
             b = Block(t, depth)
@@ -255,46 +278,49 @@ def remove_repeats(docs: DataFrame, depth: int = 50, block_bytes: int | None = N
 
     def sorted_(batches):
         for t, bounds in runs(batches, ["place"]):
-            out = []
             for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                part = t.slice(x, y - x).to_pylist()
-                number: dict[bytes, int] = {}
-                low, grams_, entries = [], [], []
-                for r in part:
-                    ids, gram = np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["a"], np.uint64)
-                    lo, hi = np.frombuffer(r["b"], np.int64).reshape(2, -1)
+                part = []
+                for r in t.slice(x, y - x).select(["block", "ids", "a", "b", "c", "d"]).to_pylist():
                     ends = np.cumsum(np.frombuffer(r["c"], "<i4"))
-                    mine = []
-                    for g, v, p, q in zip(gram.tolist(), lo.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                        k = number.setdefault(r["d"][p:q], len(number))
-                        if k == len(low):
-                            low.append(v)
-                            grams_.append(g)
-                        elif v < low[k]:
-                            low[k] = v
-                        mine.append(k)
-                    entries.append((r["block"], ids, hi, mine))
-                first = first_docs(np.array(grams_, np.uint64), list(number), np.array(low, np.int64), depth)
-                spans = []
-                for v in first:
-                    cuts = np.append(np.flatnonzero(np.diff(v, prepend=v[0] - 1)), len(v)).tolist() if len(v) else [0]
-                    spans.append([(p, q, int(v[p])) for p, q in zip(cuts[:-1], cuts[1:], strict=True)])
-                for block, ids, hi, mine in entries:
-                    found = [(i, p, q, v) for i, h, k in zip(ids.tolist(), hi.tolist(), mine, strict=True) for p, q, v in spans[k] if v < h]
-                    if found:
-                        c = np.array(found, dtype=np.int64).T
-                        out.append((block, 1, c[0].astype("<i4").tobytes(), c[1].astype("<i4").tobytes(), c[2].astype("<i4").tobytes(), c[3].tobytes(), None))
-            yield from message(out).to_batches()
+                    part.append((r["block"], np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["a"], np.uint64), *np.frombuffer(r["b"], np.int64).reshape(2, -1), ends, r["d"]))
+                # a share of the range's grams at a time, which bounds what is held as single texts
+                shares = 1 + sum(len(r[-1]) for r in part) // SHARE
+                for share in range(shares):
+                    yield from message(answered(part, share, shares)).to_batches()
+                    trim()
+
+    def answered(part: list[tuple], share: int, shares: int) -> list[tuple]:
+        number: dict[bytes, int] = {}
+        low, grams_, entries, out = [], [], [], []
+        for block, ids, gram, lo, hi, ends, raw in part:
+            own, mine = np.flatnonzero((gram & np.uint64(0xFFFFF)) % np.uint64(shares) == np.uint64(share)), []
+            for g, v, p, q in zip(gram[own].tolist(), lo[own].tolist(), np.where(own > 0, ends[own - 1], 0).tolist(), ends[own].tolist(), strict=True):
+                k = number.setdefault(raw[p:q], len(number))
+                if k == len(low):
+                    low.append(v)
+                    grams_.append(g)
+                elif v < low[k]:
+                    low[k] = v
+                mine.append(k)
+            entries.append((block, ids[own], hi[own], mine))
+        spans = first_docs(np.array(grams_, np.uint64), list(number), np.array(low, np.int64), depth)
+        for block, ids, hi, mine in entries:
+            found = [(i, p, q, v) for i, h, k in zip(ids.tolist(), hi.tolist(), mine, strict=True) for p, q, v in spans[k] if v < h]
+            if found:
+                c = np.array(found, dtype=np.int64).T
+                out.append((block, 1, c[0].astype("<i4").tobytes(), c[1].astype("<i4").tobytes(), c[2].astype("<i4").tobytes(), c[3].tobytes(), None))
+        return out
 
     asked = blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(texts, "place int, block int, ids binary, a binary, b binary, c binary, d binary")
-    answer = cut(asked.repartition("place").sortWithinPartitions("place", "block").mapInArrow(sorted_, MESSAGE), "covered")
+    answer = cut(asked.repartitionById(ranges, F.col("place")).sortWithinPartitions("place", "block").mapInArrow(tidy(sorted_), MESSAGE), "covered")
     release(spark)
 
     def digest(_: tuple, t: pa.Table, m: pa.Table) -> pa.Table:
+        trim()
         if not t.num_rows:
             return pa.Table.from_arrays([pa.array([], x) for x in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
         b = Block(t, depth)
-        delta = np.zeros(len(b.data) + 1, np.int64)
+        delta = np.zeros(len(b.data) + 1, np.int32)
         which, _, text = b.marked(repeated_of(m), ranges)
         rows = [r for r in m.to_pylist() if r["kind"] == 1]
         if rows and len(which):
@@ -311,7 +337,7 @@ def remove_repeats(docs: DataFrame, depth: int = 50, block_bytes: int | None = N
             run, at = run[hit], at[hit]
             np.add.at(delta, b.start[run] + p[at], 1)
             np.add.at(delta, b.start[run] + q[at] - 1 + depth, -1)
-        gone = np.cumsum(delta)[: len(b.data)] > 0
+        gone = np.cumsum(delta, dtype=np.int32)[: len(b.data)] > 0
         out = []
         for doc, begin, n in zip(b.ids, b.begins.tolist(), b.lengths.tolist(), strict=True):
             mask = gone[begin : begin + n]

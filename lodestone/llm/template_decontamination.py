@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import mix64, only
+from lodestone.llm.common import mix64, only, tidy
 
 WIDTH, LITERALS = 8, 3
 NUMBER = re.compile(r"[+-]?[$€£]?\d+(?:[.,:/]\d+)*(?:st|nd|rd|th|%)?")
@@ -214,7 +214,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, chunk: int = 200_000) -> DataFr
                 kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["doc_id", "item_id", "n_windows", "n_item_windows", "n_slots", "n_slots_changed"])
 
-        found = read.mapInArrow(kernel, FOUND)
+        found = read.mapInArrow(tidy(kernel), FOUND)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -230,5 +230,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, chunk: int = 200_000) -
                 bad = {a + t for a, b in groups(texts) for t, *_ in part.match(words, texts[a:b])}
                 yield batch.take(pa.array([i for i in range(len(texts)) if i not in bad], pa.int64()))
 
-        docs = docs.mapInArrow(kernel, docs.schema)
+        docs = docs.mapInArrow(tidy(kernel), docs.schema)
     return docs

@@ -24,7 +24,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestone.llm.common import only, tokenizer_path
+from lodestone.llm.common import only, tidy, tokenizer_path
 
 MARK = "▁"
 WORDS = re.compile(f"{MARK}+[^{MARK}]*")
@@ -118,4 +118,4 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 names=["doc_id", "n_tokens", "n_byte_tokens", "n_chars", "best_score"],
             )
 
-    return only(docs, "doc_id", "text").mapInArrow(kernel, SCHEMA)
+    return only(docs, "doc_id", "text").mapInArrow(tidy(kernel), SCHEMA)
