@@ -101,7 +101,7 @@ class Block:
         empty = self.lengths[self.doc] == 0
         assert not empty.any()
         self.count = np.minimum(stop, ends[self.doc] - depth + 1) - self.start
-        self.gram = low[self.start]
+        self.gram = mix64(low[self.start])  # a smallest hash is not even over its range
 
     def marked(self, repeated: np.ndarray, ranges: int) -> tuple[np.ndarray, list[bytes], np.ndarray]:
         """Runs of repeated grams: which, their distinct texts in order, and each one's text."""
@@ -203,7 +203,7 @@ def remove_repeats(docs: DataFrame, depth: int = 50, block_bytes: int | None = N
     spark = docs.sparkSession
     read = only(docs, "doc_id", "text").where("doc_id is not null").select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("content"))
     total = read.agg(F.sum(F.length("content"))).first()[0] or 0
-    ranges = max(1, int(total // (block_bytes or min(64 << 20, max(3 << 20, total // 4000)))) + 1)
+    ranges = max(1, int(total // (block_bytes or min(64 << 20, max(5 << 20, total // 2500)))) + 1)
     name = f"lodestone_blocks_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/lodestone/{name}"
     laid = read.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(ranges)).cast("int"))
