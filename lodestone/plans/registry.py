@@ -1,4 +1,6 @@
 """Every registered query and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lodestone.plans import table_queries
+
+QUERIES: dict = {**table_queries.QUERIES}
+ORACLES: dict = {**table_queries.ORACLES}
