@@ -78,7 +78,7 @@ def over_threshold(df: DataFrame, value: str, threshold: int) -> DataFrame:
 
 def prefixes(path: Column, separator: str = "/") -> Column:
     """All leading parts of a path, the shortest first."""
-    parts = F.split(path, separator, -1)
+    parts = F.split(path, f"[{separator}]", -1)
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), separator))
 
 
@@ -127,9 +127,13 @@ def compared(base: DataFrame, target: DataFrame, key: str, *kept: str) -> DataFr
 
 
 def windows_of(tokens: Column, width: int) -> Column:
-    """Hashes of all runs of ``width`` tokens."""
-    n = F.size(tokens) - width
-    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), lambda i: F.sha2(F.array_join(F.slice(tokens, i + 1, width), "\u0000"), 256))).otherwise(F.array().cast("array<string>"))
+    """Hashes of all runs of ``width`` tokens; the tokens are computed once, not per run."""
+
+    def runs(t: Column) -> Column:
+        n = F.size(t) - width
+        return F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), lambda i: F.sha2(F.array_join(F.slice(t, i + 1, width), "\u0000"), 256))).otherwise(F.array().cast("array<string>"))
+
+    return F.transform(F.array(tokens), runs)[0]
 
 
 def words_in(text: Column) -> Column:
