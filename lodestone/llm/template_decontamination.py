@@ -101,7 +101,7 @@ class Words(dict):
         ids = np.fromiter(map(self.__getitem__, chain.from_iterable(lists)), dtype=np.int64, count=int(sizes.sum()))
         if self.columns is None or len(self.columns[0]) < len(self.rows):
             new = self.rows[0 if self.columns is None else len(self.columns[0]) :]
-            fresh = [np.array(c, dtype=t) for c, t in zip(zip(*new, strict=True), (np.uint64, np.uint64, bool, bool, bool, np.uint64), strict=True)]
+            fresh = [np.array([r[k] for r in new], dtype=t) for k, t in enumerate((np.uint64, np.uint64, bool, bool, bool, np.uint64))]
             self.columns = fresh if self.columns is None else [np.concatenate(x) for x in zip(self.columns, fresh, strict=True)]
         first, inner, slot_first, slot_inner, ends, value = self.columns
         text = np.repeat(np.arange(len(texts)), sizes)
