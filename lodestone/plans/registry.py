@@ -1,6 +1,6 @@
 """Every registered query and the SQL that gives the same rows."""
 
-from lodestone.plans import table_queries
+from lodestone.plans import code_queries, table_queries
 
-QUERIES: dict = {**table_queries.QUERIES}
+QUERIES: dict = {**table_queries.QUERIES, **code_queries.QUERIES}
 ORACLES: dict = {**table_queries.ORACLES}
