@@ -51,4 +51,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_media_columns, op4_url_filters, op5_suffix_dedup, op6_minhash_forest, op7_template_decontamination, op8_best_fit_packing, op9_language_id, op10_quality_rules)}
-ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE, "op4_url_filters": url_filters.ORACLE}
+ORACLES: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE, "op4_url_filters": url_filters.ORACLE, "op6_minhash_forest": minhash_forest.ORACLE}
