@@ -4,13 +4,19 @@ Words become a template: numbers, units and names (capitalised inside a
 sentence) turn into typed placeholders, all else is lower-cased without its
 punctuation.  Windows of eight template words of every benchmark item are
 hash-joined with those of every document, so a question with other numbers or
-names still matches; then the slots are checked: over all matched windows of an
-item one benchmark value must stand for one document value and the other way
-round, or the window is thrown out.  An item leaks into a document if enough
-of its windows are left.
-
-A window needs three literal words.  Items shorter than a window are matched as
-one window of their own length.  The benchmark side is joined from memory in
+names still matches; then the slots are checked: over all matched windows of one
+alignment (item and document at one distance) one benchmark value must stand for
+one document value and the other way round, or the window is thrown out.  An
+item leaks into a document if six of its windows (all, if it has fewer) are left
+in one alignment, however long it is, or a quarter of them and six over all
+alignments, or if a run of 13 words (the whole item, if it is shorter) is in the
+document as it is, whatever its case, marks and literals.
+
+A capitalised word at a sentence's start may be a name or not, and what starts a
+sentence in one text may not in another (behind a heading): windows are also
+matched with every capitalised word as a name.  A window needs three literal
+words; what only starts of sentences make literal must then be equal.  Items
+shorter than a window are matched as one window of their own length.  The benchmark side is joined from memory in
 chunks of at most ``chunk`` windows, however many there are; documents stream
 past each chunk and are never shuffled.
 
@@ -33,7 +39,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import mix64, only, tidy
 
-WIDTH, LITERALS = 8, 3
+WIDTH, LITERALS, HELD, EXACT = 8, 3, 6, 13
 NUMBER = re.compile(r"[+-]?[$€£]?\d+(?:[.,:/]\d+)*(?:st|nd|rd|th|%)?")
 GLUED = re.compile(r"([+-]?[$€£]?\d+(?:[.,]\d+)*)([a-zA-Zµ°]+)")
 NUMERALS = set("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split())
@@ -92,7 +98,7 @@ class Words(dict):
         return start, NAME if named else start, kind is not None, kind is not None or named, end, value
 
     def look(self, texts: list[str | None]) -> tuple[np.ndarray, ...]:
-        """Of all words with a core: the text it is in, template code, slot or not, value."""
+        """Of all words with a core: the text it is in, template code, slot or not, both again with every capitalised word as a name, value."""
         if len(self) > self.most:
             self.clear()
             self.rows, self.columns = [], None
@@ -109,72 +115,127 @@ class Words(dict):
         begins[1:] = ends[ids[:-1]] | (text[1:] != text[:-1])
         codes, slots, values = np.where(begins, first[ids], inner[ids]), np.where(begins, slot_first[ids], slot_inner[ids]), value[ids]
         keep = codes != 0
-        return text[keep], codes[keep], slots[keep], values[keep]
+        return text[keep], codes[keep], slots[keep], inner[ids][keep], slot_inner[ids][keep], values[keep]
+
+
+class Hashes:
+    """Hashes of the windows of any width over ``codes``: those of doubled widths are kept and put together."""
+
+    def __init__(self, codes: np.ndarray):
+        self.doubled = [(codes, POWER)]
+
+    def of(self, width: int) -> np.ndarray:
+        n = max(0, len(self.doubled[0][0]) - width + 1)
+        while 1 << len(self.doubled) <= width:
+            h, power = self.doubled[-1]
+            m, half = max(0, len(h) - (1 << len(self.doubled) - 1)), 1 << len(self.doubled) - 1
+            self.doubled.append((h[:m] * power + h[half : half + m], POWER ** np.uint64(2 * half)))
+        out, at = None, 0
+        for k in reversed(range(len(self.doubled))):
+            if width >> k & 1:
+                h, power = self.doubled[k]
+                out = h[at : at + n] if out is None else out * power + h[at : at + n]
+                at += 1 << k
+        return mix64(out)
 
 
-def windows(text: np.ndarray, codes: np.ndarray, slots: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the window that starts at each word, and whether it lies in one text and has literals enough."""
-    n = max(0, len(codes) - width + 1)
-    h = np.zeros(n, dtype=np.uint64)
-    for j in range(width):
-        h = h * POWER + codes[j : j + n]
+def literals(slots: np.ndarray, width: int) -> np.ndarray:
+    """Whether the window that starts at each word has literals enough."""
+    n = max(0, len(slots) - width + 1)
     total = np.concatenate([[0], np.cumsum(~slots)])
-    return mix64(h), (text[:n] == text[width - 1 : width - 1 + n]) & (total[width : width + n] - total[:n] >= min(LITERALS, width))
+    return total[width : width + n] - total[:n] >= min(LITERALS, width)
+
+
+class Index:
+    """Hash -> places, with bits to pass over most other hashes."""
+
+    def __init__(self, rows: list[tuple]):
+        self.places = defaultdict(list)
+        for h, *place in rows:
+            self.places[h].append(tuple(place))
+        self.keys = np.array(sorted(self.places), dtype=np.uint64)
+        self.bits = np.zeros(1 << 21, dtype=bool)
+        self.bits[self.keys >> np.uint64(43)] = True
+
+    def find(self, h: np.ndarray, text: np.ndarray, width: int) -> list[int]:
+        """The windows that lie in one text and have a place."""
+        at = np.flatnonzero(self.bits[h >> np.uint64(43)])
+        at = at[text[at] == text[at + width - 1]]
+        spot = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
+        return at[self.keys[spot] == h[at]].tolist()
 
 
 class Benchmark:
     """A chunk of benchmark items, ready to be matched."""
 
     def __init__(self, items: list[tuple[int | None, str | None]]):
-        text, codes, slots, values = Words().look([t for _, t in items])
+        text, *columns = Words().look([t for _, t in items])
         bounds = np.searchsorted(text, np.arange(len(items) + 1))
-        self.ids, self.parts = [i for i, _ in items], [(codes[a:b], slots[a:b], values[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
-        self.width = [min(WIDTH, b - a) for a, b in zip(bounds, bounds[1:], strict=False)]
+        self.ids, self.parts = [i for i, _ in items], [[c[a:b] for c in columns] for a, b in zip(bounds, bounds[1:], strict=False)]
+        self.width = [min(WIDTH, int(b - a)) for a, b in zip(bounds, bounds[1:], strict=False)]
         self.total = [0] * len(items)
-        by_width: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for k, ((c, s, _), w) in enumerate(zip(self.parts, self.width, strict=True)):
+        by_width, exact = defaultdict(list), defaultdict(list)
+        for k, ((c, s, names, _, v), w) in enumerate(zip(self.parts, self.width, strict=True)):
             if w:
-                h, good = windows(np.zeros(len(c), np.int64), c, s, int(w))
+                good, plain, named = literals(s, w), Hashes(c).of(w), Hashes(names).of(w)
                 self.total[k] = int(good.sum())
-                by_width[int(w)] += [(int(h[i]), k, int(i)) for i in np.flatnonzero(good)]
-        self.by_width = {}
-        for w, rows in by_width.items():
-            places = defaultdict(list)
-            for h, k, i in rows:
-                places[h].append((k, i))
-            keys = np.array(sorted(places), dtype=np.uint64)
-            bits = np.zeros(1 << 21, dtype=bool)
-            bits[keys >> np.uint64(43)] = True
-            self.by_width[w] = (keys, bits, places)
+                for i in np.flatnonzero(good).tolist():
+                    by_width[w].append((int(plain[i]), k, i, False))
+                    if w >= LITERALS:  # shorter items have literals alone, which the exact match finds
+                        by_width[w].append((int(named[i]), k, i, True))
+                e = min(EXACT, len(v))
+                exact[e] += [(h, k, i) for i, h in enumerate(Hashes(v).of(e).tolist())]
+        self.by_width, self.exact = ({w: Index(rows) for w, rows in x.items()} for x in (by_width, exact))
 
     def match(self, words: Words, texts: list[str | None]) -> list[tuple]:
         """(text, item, windows that hold, windows of the item, slots, slots with another value) of each leak."""
-        text, codes, slots, values = words.look(texts)
-        found: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for w, (keys, bits, places) in self.by_width.items():
-            h, good = windows(text, codes, slots, w)
-            at = np.flatnonzero(good & bits[h >> np.uint64(43)])
-            spot = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
-            for i in at[keys[spot] == h[at]].tolist():
-                for k, j in places[int(h[i])]:
-                    found[int(text[i]), k].append((i, j))
+        text, codes, _, names, _, values = words.look(texts)
+        found: dict[tuple[int, int], list[tuple[int, int, bool]]] = defaultdict(list)
+        for named, h in ((False, Hashes(codes)), (True, Hashes(names))):
+            for w, index in self.by_width.items():
+                hashes = h.of(w)
+                for i in index.find(hashes, text, w):
+                    for k, j, which in index.places[int(hashes[i])]:
+                        if which == named:
+                            found[int(text[i]), k].append((i, j, named))
+        same, h = set(), Hashes(values)
+        for w, index in self.exact.items():
+            hashes = h.of(w)
+            for i in index.find(hashes, text, w):
+                for k, j in index.places[int(hashes[i])]:
+                    if (int(text[i]), k) not in same and np.array_equal(values[i : i + w], self.parts[k][4][j : j + w]):
+                        same.add((int(text[i]), k))
         out = []
-        for (t, k), pairs in found.items():
-            c, s, v = self.parts[k]
-            w, there, back, held, changed = int(self.width[k]), {}, {}, set(), {}
-            for i, j in sorted(pairs, key=lambda p: (p[0] - p[1], p[1])):
-                spots = [x for x in range(w) if s[j + x]]
-                new = [(int(v[j + x]), int(values[i + x])) for x in spots]
-                trial, kcab = dict(there), dict(back)
-                if np.array_equal(codes[i : i + w], c[j : j + w]) and all(trial.setdefault(a, b) == b and kcab.setdefault(b, a) == a for a, b in new):
-                    there, back = trial, kcab
-                    held.add(j)
-                    changed |= {j + x: a != b for x, (a, b) in zip(spots, new, strict=True)}
-            least = max(min(6, self.total[k]), -(-self.total[k] // 4))
-            if held and len(held) >= least:
-                out.append((t, self.ids[k], len(held), self.total[k], len(changed), sum(changed.values())))
+        for t, k in dict.fromkeys([*found, *sorted(same)]):
+            held, changed, most = self.held(k, found.get((t, k), []), codes, names, values)
+            total = self.total[k]
+            if (t, k) in same or held and (most >= min(HELD, total) or len(held) >= max(min(HELD, total), -(-total // 4))):
+                out.append((t, self.ids[k], len(held), total, len(changed), sum(changed.values())))
         return out
 
+    def held(self, k: int, pairs: list[tuple[int, int, bool]], codes: np.ndarray, names: np.ndarray, values: np.ndarray) -> tuple[set[int], dict[int, bool], int]:
+        """Of item ``k``: the windows that hold, its slots and whether their value is another, and the most windows of one alignment."""
+        c, s, c_named, s_named, v = self.parts[k]
+        w, held, changed, most, last = self.width[k], set(), {}, 0, None
+        for i, j, named in sorted(pairs, key=lambda p: (p[0] - p[1], p[1], p[2])):
+            if last != i - j:
+                last, there, back, here = i - j, {}, {}, set()
+            if j in here or not np.array_equal((names if named else codes)[i : i + w], (c_named if named else c)[j : j + w]):
+                continue
+            marks = s_named if named else s
+            spots = [x for x in range(w) if marks[j + x]]
+            new = [(int(v[j + x]), int(values[i + x])) for x in spots]
+            if w - len(spots) < min(LITERALS, w) and any(a != b and not s[j + x] for x, (a, b) in zip(spots, new, strict=True)):
+                continue
+            trial, kcab = dict(there), dict(back)
+            if all(trial.setdefault(a, b) == b and kcab.setdefault(b, a) == a for a, b in new):
+                there, back = trial, kcab
+                here.add(j)
+                held.add(j)
+                most = max(most, len(here))
+                changed |= {j + x: a != b for x, (a, b) in zip(spots, new, strict=True) if s[j + x] or a != b}
+        return held, changed, most
+
 
 def groups(texts: list[str | None], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Slices of about ``most`` characters."""

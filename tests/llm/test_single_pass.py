@@ -128,6 +128,38 @@ def test_leaks(spark):
     assert template_decontamination.without_leaks(df, bench.limit(0)).count() == len(docs)
 
 
+def leaking(item, *texts):
+    words = template_decontamination.Words()
+    return [bool(template_decontamination.Benchmark([(1, item)]).match(words, [t])) for t in texts]
+
+
+def test_leaks_of_long_items():
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+    other = " ".join(words[:13]) + " " + "filler " * 20
+    assert leaking(" ".join(words), "before it " + " ".join(words[120:220]) + " after it", other, " ".join(words[:10]), "filler " * 200) == [True, True, False, False]
+
+
+def test_leaks_behind_a_heading():
+    item = "Which train leaves Paris with 40 passengers every single morning?"
+    other = item.replace("Paris", "Berlin").replace("40", "36")
+    assert leaking(item, f"Question 5\n{item}", f"Question 5\n{other}", f"of it {item.lower()}", f"Question 5\n{item[6:40]}") == [True, True, True, False]
+    assert leaking("How much do 40 apples cost?", "Question 5\nHow much do 30 apples cost?", "Question 5\nHow much do 30 pears cost?") == [True, False]
+
+
+def test_leaks_without_literals():
+    item = "Who Was King Of France In 1789 Before Napoleon Bonaparte?"
+    assert leaking(item, f"they ask: {item} Yes", item.lower(), item.replace("1789", "1790")) == [True, True, False]
+
+
+def test_slots_of_each_alignment():
+    first = ITEM.replace("40", "36").replace("15", "12").replace("100", "84").replace("Paris", "Rome")
+    part = " ".join(ITEM.replace("40", "12").replace("Paris", "Oslo").split()[:10])
+    assert leaking(ITEM, f"{part} and then nothing else. {first}") == [True]
+    found = template_decontamination.Benchmark([(1, ITEM)]).match(template_decontamination.Words(), [f"{part} and then nothing else. {first}"])
+    assert found[0][2] == found[0][3]
+
+
 # -- packing
 
 
