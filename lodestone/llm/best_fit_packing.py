@@ -42,7 +42,8 @@ class Encoder(dict):
     A single space between two visible characters always starts a new token, so
     texts without any other use of the space are encoded from space to space; a
     mark behind a letter is a token of its own as well.  Other texts are encoded
-    whole.
+    whole, those that hold an added token (such as an end mark) by the tokenizer
+    itself, which gives that token's id.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
@@ -53,7 +54,7 @@ class Encoder(dict):
 
         self.most = most
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path.removesuffix(".json") + ".tiktoken", "rb"))}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
@@ -76,6 +77,8 @@ class Encoder(dict):
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if any(t in text for t in self.added):
+            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         first, *rest = text.split(" ")
         try:
             if rest and (not first or first[-1].isspace()):

@@ -206,6 +206,18 @@ def test_packing_of_odd_rows(spark):
     assert best_fit_packing.pack(odd(spark).limit(0)).count() == 0
 
 
+def test_added_tokens_are_one_id(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    texts = {1: "a<|endoftext|>b", 2: "some words <|endoftext|> and more,<|endoftext|>", 3: "no <|endoftex|> mark"}
+    rows = best_fit_packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    ids = {d: tokenizer.encode(t, add_special_tokens=False).ids for d, t in texts.items()}
+    assert len(ids[1]) == 3 and {r["doc_id"]: r["length"] - 1 for r in rows} == {d: len(x) for d, x in ids.items()}
+    for r in rows:
+        assert r["ids_crc32"] == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in [*ids[r["doc_id"]], 0]))
+
+
 def test_completion_is_as_good_as_any():
     rng = random.Random(1)
     for _ in range(40):
