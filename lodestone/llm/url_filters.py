@@ -4,10 +4,11 @@ Rules come first: the longest that fits a url decides.  What no rule fits is
 judged by the template of its path, learnt per host from the urls that rules
 fit.  Digits of a segment become ``#``; then, from the host down, a segment that
 fewer than ``support`` urls share under its parent is variable and becomes
-``*``.  ``DEPTH`` segments are told apart, what lies deeper is one ``**``.  From
-the leaves up, branches whose share of blocked urls does not differ from their
+``*``.  This goes on, level by level, to the last segment of the deepest path.
+From the leaves up, branches whose share of blocked urls does not differ from their
 parent's by more than ``z`` standard errors are merged into one ``*``; a branch
-without labels never is.  A template is rejected if its purity, the share of
+without labels never is, nor, from segment ``LEAST`` + 1 on, the end of a path
+beside which nothing goes on.  A template is rejected if its purity, the share of
 blocked among its labelled urls smoothed with ``weight`` urls of the table's
 share, is ``reject`` at least.
 
@@ -28,9 +29,8 @@ from lodestone.llm.common import cut, only
 
 #: verdict and host with path, in the order in which they are stated
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-DEPTH = 3
+LEAST = 3  # levels that every tree has
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-TEMPLATE = ("host", *(f"s{k}" for k in range(1, DEPTH + 2)))
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -49,62 +49,63 @@ def fitting(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) -> C
 
 
 def located(pages: DataFrame, rules: tuple[tuple[str, str], ...]) -> DataFrame:
-    """page_id, host, path, rule, ruled (1 blocked, 0 allowed, else null) and the segments of the path."""
+    """page_id, host, path, rule, ruled (1 blocked, 0 allowed, else null) and the shape of the path, its segments between slashes."""
     host, path = parts(F.col("url"))
     read = only(pages, "page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
     read = read.withColumn("rule", fitting(F.col("host"), F.col("path"), rules))
     ruled = F.lit(None).cast("int")
     for verdict, rule in rules:
         ruled = F.when(F.col("rule") == rule, F.lit(int(verdict == "block"))).otherwise(ruled)
-    shape = F.split(F.regexp_replace(F.regexp_replace("path", "^/", ""), "[0-9]+", "#"), "/", -1)
-    read = read.withColumn("ruled", ruled).withColumn("shape", shape)
-    segments = [F.coalesce(F.get("shape", F.lit(k)), F.lit("$")).alias(f"s{k + 1}") for k in range(DEPTH)]
-    return read.select("page_id", "host", "path", "rule", "ruled", *segments, F.when(F.size("shape") > DEPTH, F.lit("**")).otherwise(F.lit("$")).alias(f"s{DEPTH + 1}"))
-
-
-def grown(shapes: DataFrame, support: int) -> DataFrame:
-    """``shapes`` with templates t1, t2, ...: segments that few share turned into wildcards, from the host down."""
-    known = ["host"]
-    for k in range(1, DEPTH + 1):
-        node = [*known, f"s{k}"]
-        common = shapes.groupBy(*node).agg(F.sum("n").alias("shared")).where(F.col("shared") >= support).withColumn(f"t{k}", F.col(f"s{k}"))
-        kept = F.coalesce(F.col(f"t{k}"), F.when(F.col(f"s{k}") == "$", F.lit("$")).otherwise(F.lit("*")))
-        shapes = cut(shapes.join(common.drop("shared"), node, "left").withColumn(f"t{k}", kept), "grown")
-        known.append(f"t{k}")
-    return shapes.withColumn(f"t{DEPTH + 1}", F.col(f"s{DEPTH + 1}"))
+    shape = F.regexp_replace(F.regexp_replace("path", "^/", ""), "[0-9]+", "#")
+    return read.select("page_id", "host", "path", "rule", ruled.alias("ruled"), shape.alias("shape"))
+
+
+def grown(shapes: DataFrame, support: int, depth: int) -> DataFrame:
+    """``shapes`` with ``template``, an array: segments that few share turned into wildcards, from the host down."""
+    shapes = shapes.withColumn("template", F.array().cast("array<string>"))
+    node = ["host", "template", "segment"]
+    for k in range(depth):
+        shapes = shapes.withColumn("segment", F.coalesce(F.get("segments", F.lit(k)), F.lit("$")))
+        common = shapes.groupBy(*node).agg(F.sum("n").alias("shared")).where(F.col("shared") >= support).select(*node, F.lit(True).alias("common"))
+        kept = F.when(F.col("common") | (F.col("segment") == "$"), F.col("segment")).otherwise(F.lit("*"))
+        shapes = cut(shapes.join(common, node, "left").withColumn("template", F.concat("template", F.array(kept))).drop("segment", "common"), "grown")
+    return shapes
 
 
-def merged(shapes: DataFrame, z: float) -> DataFrame:
+def merged(shapes: DataFrame, z: float, depth: int) -> DataFrame:
     """``shapes`` with like branches turned into wildcards, from the leaves up."""
-    for k in range(DEPTH, 0, -1):
-        parent = ["host", *(f"t{i}" for i in range(1, k))]
-        branch = [*parent, f"t{k}"]
+    parent, branch = ["host", "parent"], ["host", "parent", "branch"]
+    for k in range(depth, 0, -1):
+        shapes = shapes.withColumn("parent", F.slice("template", 1, k - 1)).withColumn("branch", F.get("template", F.lit(k - 1)))
         nodes = shapes.groupBy(*branch).agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-        above = shapes.groupBy(*parent).agg(F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"))
+        above = shapes.groupBy(*parent).agg(F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"), F.bool_or(F.col("branch") != "$").alias("deeper"))
         share = (F.col("all_blocked") + 1) / (F.col("all_labelled") + 2)
         apart = F.abs(F.col("blocked") / F.col("labelled") - F.col("all_blocked") / F.col("all_labelled"))
         alike = apart <= z * F.sqrt(share * (1 - share) / F.col("labelled"))
-        judged = nodes.where("labelled > 0").join(above, parent).select(*branch, alike.alias("alike"))
+        judged = nodes.where("labelled > 0").join(above, parent).select(*branch, (alike if k <= LEAST else alike & F.col("deeper")).alias("alike"))
         # a branch is merged only if all that is below it is one already
-        one = F.lit(True) if k == DEPTH else F.col(f"t{k + 1}").isin("*", "$")
-        shapes = cut(shapes.join(judged, branch, "left").withColumn(f"t{k}", F.when(F.col("alike") & one, F.lit("*")).otherwise(F.col(f"t{k}"))).drop("alike"), "merged")
+        one = F.lit(True) if k == depth else F.get("template", F.lit(k)).isin("*", "$")
+        star = F.concat("parent", F.array(F.lit("*")), F.slice("template", k + 1, depth))
+        shapes = cut(shapes.join(judged, branch, "left").withColumn("template", F.when(F.col("alike") & one, star).otherwise(F.col("template"))).drop("parent", "branch", "alike"), "merged")
     return shapes
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, support: int = 8, z: float = 1.96, weight: float = 4.0, reject: float = 0.8) -> DataFrame:
     """page_id, host, path, rule, verdict, template and purity of every url."""
     urls = located(pages, rules)
-    shapes = urls.groupBy(*TEMPLATE).agg(F.count("*").alias("n"), F.count("ruled").alias("labelled"), F.coalesce(F.sum("ruled"), F.lit(0)).alias("blocked"))
-    names = [f"t{k}" for k in range(1, DEPTH + 2)]
-    placed = merged(grown(cut(shapes, "shapes"), support), z)
+    place = ["host", "shape"]
+    shapes = urls.groupBy(*place).agg(F.count("*").alias("n"), F.count("ruled").alias("labelled"), F.coalesce(F.sum("ruled"), F.lit(0)).alias("blocked"))
+    shapes = cut(shapes.withColumn("segments", F.split("shape", "/", -1)), "shapes")
+    depth = max(LEAST, shapes.agg(F.max(F.size("segments"))).first()[0] or 0)
+    placed = merged(grown(shapes, support, depth), z, depth)
     total = placed.agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")).first()
     share = total["blocked"] / total["labelled"] if total["labelled"] else 0.0
-    sums = placed.groupBy("host", *names).agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    sums = placed.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     purity = F.round((F.col("blocked") + weight * share) / (F.col("labelled") + weight), 9)
-    scored = sums.select("host", *names, purity.alias("purity"))
-    found = placed.select(*TEMPLATE, *names).join(scored, ["host", *names])
-    template = F.concat(F.col("host"), *[F.when(F.col(t) == "$", F.lit("")).otherwise(F.concat(F.lit("/"), F.col(t))) for t in names])
-    out = urls.join(found.select(*TEMPLATE, template.alias("template"), "purity"), list(TEMPLATE), "left")
+    scored = sums.select("host", "template", purity.alias("purity"))
+    found = placed.select(*place, "template").join(scored, ["host", "template"])
+    told = F.concat("host", F.array_join(F.transform(F.filter("template", lambda x: x != "$"), lambda x: F.concat(F.lit("/"), x)), ""))
+    out = urls.join(found.select(*place, told.alias("template"), "purity"), place, "left")
     verdict = F.when(F.col("ruled").isNotNull(), F.when(F.col("ruled") == 1, F.lit("block")).otherwise(F.lit("allow"))).when(F.col("purity") >= reject, F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
 

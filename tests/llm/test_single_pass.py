@@ -319,3 +319,16 @@ def test_impure_templates_are_rejected(spark):
     df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
     got = {r["page_id"]: (r["verdict"], r["template"]) for r in url_filters.judge(df, rules).collect()}
     assert got[0] == ("block", "a.org/*/*/*") and got[41][0] == "allow"
+
+
+def test_templates_of_deep_paths(spark):
+    rules = (("block", "a.org/x/y/z/bad/q"), ("allow", "a.org/x/y/z/good/q"))
+    rows = [f"http://a.org/x/y/z/{k}/q/{p}/e" for k in ("bad", "good") for p in "rs" for _ in range(20)]
+    rows += ["http://a.org/x/y/z/bad/u/r"] + [f"http://b.org/x/{k}" for k in "cd" for _ in range(10)]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filters.judge(df, rules).collect()}
+    assert len(got) == len(rows)
+    assert got[0]["template"] == "a.org/x/y/z/bad/*/*/*" and got[40]["template"] == "a.org/x/y/z/good/*/*/*"
+    assert got[0]["purity"] > 0.9 and got[40]["purity"] < 0.1
+    shallow = {r["page_id"]: r["template"] for r in url_filters.judge(df.where("url like '%b.org%'"), rules).collect()}
+    assert shallow == {k: got[k]["template"] for k in shallow}  # depth elsewhere changes nothing here
