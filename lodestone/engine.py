@@ -39,7 +39,7 @@ class Engine:
         deps = self._save(manifests.occurrences(rows))
         edges = self._save(rules.import_edges(code))
         found = [
-            rules.high_degree(code, edges), rules.cycles(edges, self._save), rules.layer_violations(edges), rules.sizes(code), rules.structure(code), rules.responsibilities(code, edges),
+            rules.high_degree(code, edges), rules.cycles(edges), rules.layer_violations(edges), rules.sizes(code), rules.structure(code), rules.responsibilities(code, edges),
             rules.duplicates(python_code.bodies(files, code)), rules.dependency_rules(deps, code, advisories), rules.security_rules(code), rules.authorization(code), rules.hardcoded_secrets(files),
         ]
         findings = self._save(results.merged(*[self._save(f) for f in found]))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,3 +163,52 @@ def reachable(edges: DataFrame, most: int) -> DataFrame:
         front = front.alias("f").join(step.alias("s"), F.col("f.dst") == F.col("s.src")).select("f.src", "s.dst").distinct()
         found = found.union(front).distinct()
     return found
+
+
+def on_cycles(edges: list[tuple]) -> list[tuple]:
+    """(node, component, named by its smallest node) of every node that a path of one edge or more leads back to (Tarjan, without recursion)."""
+    out, order, low, held, stack, found = {}, {}, {}, set(), [], []
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+    for root in out:
+        if root in order:
+            continue
+        order[root] = low[root] = len(order)
+        stack.append(root)
+        held.add(root)
+        trail = [(root, iter(out[root]))]
+        while trail:
+            node, rest = trail[-1]
+            for n in rest:
+                if n not in order:
+                    order[n] = low[n] = len(order)
+                    stack.append(n)
+                    held.add(n)
+                    trail.append((n, iter(out.get(n, ()))))
+                    break
+                if n in held:
+                    low[node] = min(low[node], order[n])
+            else:
+                trail.pop()
+                if trail:
+                    low[trail[-1][0]] = min(low[trail[-1][0]], low[node])
+                if low[node] == order[node]:
+                    members = [stack.pop()]
+                    while members[-1] != node:
+                        members.append(stack.pop())
+                    held.difference_update(members)
+                    if len(members) > 1 or node in out.get(node, ()):
+                        least = min(members)
+                        found += [(m, least) for m in members]
+    return found
+
+
+def strong_components(edges: DataFrame, scope: str) -> DataFrame:
+    """scope, node, component (its smallest node) of every node on a cycle of its scope, however long; a task holds one scope's edges."""
+    kind = dict(edges.dtypes)
+
+    def kernel(table: pa.Table) -> pa.Table:
+        rows = on_cycles(list(zip(table.column("src").to_pylist(), table.column("dst").to_pylist(), strict=True)))
+        return pa.table([pa.array([table.column(scope)[0].as_py()] * len(rows), table.schema.field(scope).type), *[pa.array([r[k] for r in rows], table.schema.field("src").type) for k in (0, 1)]], names=[scope, "node", "component"])
+
+    return edges.select(scope, "src", "dst").distinct().groupBy(scope).applyInArrow(kernel, f"{scope} {kind[scope]}, node {kind['src']}, component {kind['src']}")

@@ -71,22 +71,11 @@ def high_degree(code: DataFrame, edges: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def cycles(edges: DataFrame, save, most: int = 32) -> DataFrame:
-    """ARCH-CIRCULAR-DEPENDENCY: modules that reach each other, one finding per group; self-imports are groups of one."""
-    inner = edges.where("dst is not null").select(F.to_json(F.struct("analysis_id", F.col("src").alias("path"))).alias("src"), F.to_json(F.struct("analysis_id", F.col("dst").alias("path"))).alias("dst")).distinct()
-    # modules without a way in or out are in no cycle; taking them off until none is left keeps the closure small
-    live = save(inner)
-    for _ in range(most):
-        ends = live.select(F.col("src").alias("n")).intersect(live.select(F.col("dst").alias("n")))
-        less = save(live.join(ends.withColumnRenamed("n", "src"), "src", "left_semi").join(ends.withColumnRenamed("n", "dst"), "dst", "left_semi"))
-        if less.count() == live.count():
-            break
-        live = less
-    reach = save(G.reachable(live, most))
-    mutual = reach.alias("a").join(reach.alias("b"), (F.col("a.src") == F.col("b.dst")) & (F.col("a.dst") == F.col("b.src"))).select("a.src", "a.dst")
-    groups = mutual.groupBy("src").agg(F.min("dst").alias("group")).groupBy("group").agg(F.array_sort(F.collect_list("src")).alias("members"))
-    path = lambda c: F.get_json_object(c, "$.path")
-    found = groups.select(F.get_json_object("group", "$.analysis_id").alias("analysis_id"), path(F.col("group")).alias("path"), F.transform("members", path).alias("paths"), F.lit(1).alias("line"))
+def cycles(edges: DataFrame) -> DataFrame:
+    """ARCH-CIRCULAR-DEPENDENCY: modules that reach each other, over any number of imports, one finding per group; self-imports are groups of one."""
+    mutual = G.strong_components(edges.where("dst is not null"), "analysis_id")
+    groups = mutual.groupBy("analysis_id", F.col("component").alias("path")).agg(F.array_sort(F.collect_list("node")).alias("paths"))
+    found = groups.withColumn("line", F.lit(1))
     folders = F.size(F.array_distinct(F.transform("paths", lambda p: T.parent(p))))
     return finding(found, "ARCH-CIRCULAR-DEPENDENCY", "architecture", F.when(folders > 1, "Medium").otherwise("Low"), "High", F.array_join(F.slice("paths", 1, 3), ","), F.array_join("paths", " -> "), end="line")
 

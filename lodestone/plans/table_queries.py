@@ -225,6 +225,19 @@ def reachability_bounded(t) -> DataFrame:
     return G.reachable(_nations(t), 8)
 
 
+@query(
+    "with recursive s as (select n_regionkey as region, s_suppkey as src, s_acctbal >= 0 as good from supplier join nation on s_nationkey = n_nationkey), e as (select region, src, coalesce((select min(b.src) from s b where b.region = s.region and b.good and b.src > s.src), (select min(b.src) from s b where b.region = s.region and b.good)) as dst from s)"
+    ", c as (select region, src, dst from e where dst is not null union select c.region, c.src, e.dst from c join e on c.region = e.region and c.dst = e.src where e.dst is not null)"
+    " select region, a.src as node, min(a.dst) as component from c a where exists (select 1 from c b where b.region = a.region and b.src = a.dst and b.dst = a.src) group by 1, 2"
+)
+def circular_dependency(t) -> DataFrame:
+    """Every supplier points to the next one of its region with a balance, the last to the first: one long ring per region."""
+    s = t("supplier").join(F.broadcast(t("nation")), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("region"), F.col("s_suppkey").alias("src"), F.when(F.col("s_acctbal") >= 0, F.col("s_suppkey")).alias("good"))
+    region = Window.partitionBy("region")
+    after = F.min("good").over(region.orderBy("src").rowsBetween(1, Window.unboundedFollowing))
+    return G.strong_components(s.select("region", "src", F.coalesce(after, F.min("good").over(region)).alias("dst")).where("dst is not null"), "region")
+
+
 @query("with b as (select * from orders where o_orderdate < timestamp '1999-01-01'), g as (select * from orders where o_orderdate >= timestamp '1998-01-01') select coalesce(b.o_orderkey, g.o_orderkey) as o_orderkey, case when b.o_orderkey is null then 'new' when g.o_orderkey is null then 'resolved' else 'unchanged' end as state from b full join g on b.o_orderkey = g.o_orderkey")
 def snapshot_compare(t) -> DataFrame:
     orders = t("orders")

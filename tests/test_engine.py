@@ -124,3 +124,12 @@ def test_a_seal_is_final(engine):
         results.seal(engine.spark, engine.store, {"states": engine.table("states", "one")})
     with pytest.raises(KeyError):
         engine.table("findings", "none")
+
+
+def test_cycles_of_any_length(spark):
+    from lodestone.plans import rules
+
+    ring = lambda a, name, n: [(a, f"{name}{k:04d}", f"{name}{(k + 1) % n:04d}") for k in range(n)]
+    edges = [*ring("one", "r", 150), *ring("one", "s", 40), *ring("two", "r", 5000), ("one", "r0003", "s0003"), ("one", "t", "r0000"), ("one", "u", "u"), ("one", "r0000", None), ("two", "x", "y")]
+    got = rules.cycles(spark.createDataFrame(edges, "analysis_id string, src string, dst string")).collect()
+    assert sorted((r["analysis_id"], r["path"], r["detail"].count(" -> ") + 1) for r in got) == [("one", "r0000", 150), ("one", "s0000", 40), ("one", "u", 1), ("two", "r0000", 5000)]
