@@ -3,8 +3,9 @@
 ``parse`` reads any byte string: junk is skipped to the next header that a
 second one (or the end) confirms, ID3v2 (any number, with footer), APEv2 and
 ID3v1 tags are measured, a first frame that holds a Xing, Info or VBRI table is
-read and not counted as sound, and frames that carry a checksum have it
-recomputed.  Times are exact: whole samples beside the sampling rate.
+read and not counted as sound, and layer III frames that carry a checksum have
+it recomputed (those of layers I and II are not verified: they count neither as
+right nor as wrong).  Times are exact: whole samples beside the sampling rate.
 
 ``store`` keeps a payload losslessly in a valid stream: layer III frames of
 silence (all side information zero) whose main data are the payload in units
@@ -116,7 +117,7 @@ def _table(frame: bytes, h: dict) -> dict | None:
 
 
 def parse(data: bytes) -> dict:
-    """Everything the columns need: frames as (offset, header, checksum: 1 right, 0 wrong, -1 none)."""
+    """Everything the columns need: frames as (offset, header, checksum: 1 right, 0 wrong, -1 none or, in layers I and II, not verified)."""
     at, end, tags = _tags(data)
     frames, table, junk, last = [], None, 0, None
     while at + 4 <= end:
@@ -129,9 +130,9 @@ def parse(data: bytes) -> dict:
             continue
         last = h["key"]
         right = -1
-        if h["crc"]:
+        if h["crc"] and h["layer"] == 3:
             covered = data[at + 2 : at + 4] + data[at + 6 : at + 6 + h["side"]]
-            right = int(h["layer"] != 3 or known_crc(covered) == int.from_bytes(data[at + 4 : at + 6], "big"))
+            right = int(known_crc(covered) == int.from_bytes(data[at + 4 : at + 6], "big"))
         if not frames and table is None and h["layer"] == 3 and (table := _table(data[at : at + h["length"]], h)):
             at += h["length"]
             continue

@@ -92,6 +92,13 @@ def test_parser_resynchronises_and_verifies():
     assert media_columns.parse(b"")["frames"] == [] and media_columns.parse(b"\xff\xfb")["frames"] == []
 
 
+def test_checksums_of_other_layers_are_not_called_right(spark):
+    one, two = b"\xff\xfe\x10\xc0".ljust(32, b"a"), b"\xff\xfc\x10\xc0".ljust(104, b"a")
+    streams = {1: one * 3, 2: two * 3, 3: media_columns.store(b"a" * 192)}
+    rows = media_columns.parse_column(spark.createDataFrame([(k, bytearray(v)) for k, v in streams.items()], "k int, c binary"), "k", "c").collect()
+    assert {r["k"]: (r["n_frames"], r["n_crc_ok"], r["n_crc_bad"]) for r in rows} == {1: (3, 0, 0), 2: (3, 0, 0), 3: (1, 1, 0)}
+
+
 def test_audio_columns(spark):
     rows = media_columns.media_columns(odd(spark)).collect()
     assert len(rows) == len(ODD)
