@@ -4,22 +4,26 @@ Every document becomes its token ids and one end mark; only what is longer than
 a sequence is cut, the first piece taking the odd length.  A packing depends on
 lengths alone, so the plan is made on the histogram of piece lengths, which has
 no more entries than a sequence has tokens however large the corpus is: bin
-completion takes the longest length left and enumerates the undominated
-fillings of the room beside it, best fit first; a filling is used as many times
-as the histogram allows.  The tail, where few pieces are left, is packed by
-branch and bound with the best-fit-decreasing packing as incumbent and the
-waste bound to prune.  Pieces then find their place by their rank among the
+completion takes the longest piece left and enumerates the undominated fillings
+of the room beside it, least waste first, each with how many it takes of a
+length; branch and bound goes on with the best-fit-decreasing packing as
+incumbent and waste bounds to prune, until the number of sequences is known to
+be the least or ``effort`` nodes are seen.  Pieces then find their place by their rank among the
 pieces of one length: ranks are counted in salted chunks, so that no length,
 however common, meets in one task.
 
 Null and empty texts are the end mark alone.  Rows without doc_id are packed
 like others.  Repeated rows are packed each.  An empty table gives no rows.
+Very long texts are encoded whole and cut.  Only doc_id and text are read, so
+other columns may have any name.  An added token in a text, such as an end
+mark, is its id, as the tokenizer's defaults give it.
 """
 
 from __future__ import annotations
 
 import zlib
 from array import array
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -117,132 +121,229 @@ def pieces(docs: DataFrame, size: int, path: str, end_id: int) -> DataFrame:
     return only(docs, "doc_id", "text").mapInArrow(tidy(kernel), PIECES)
 
 
-def fillings(counts: list[int], room: int, effort: int = 400) -> list[tuple[int, tuple[int, ...]]]:
-    """Undominated fillings of ``room``, least waste first: (waste, lengths, longest first).
+Filling = tuple[tuple[int, int], ...]  # (length, how many of it), longest first
 
-    A filling is dominated if one of its lengths, or room left, could be
-    exchanged for a longer length; taking the longest that fits at each depth
-    and going on downwards leaves those out.  The search stops at the first
-    filling without waste, or after ``effort`` steps with the best it has seen.
-    """
-    best: list[tuple[int, tuple[int, ...]]] = []
-    lengths = [n for n in range(min(room, len(counts) - 1), 0, -1) if counts[n]]
-    steps = 0
-
-    def go(at: int, left: int, taken: tuple[int, ...]) -> bool:
-        nonlocal steps
-        steps += 1
-        fit = False
-        if left and left < len(counts) and counts[left] > taken.count(left):
-            best.append((0, (*taken, left)))
-            return True
-        for i in range(at, len(lengths)):
-            n = lengths[i]
-            if n > left or counts[n] <= taken.count(n):
-                continue
-            fit = True
-            if go(i, left - n, (*taken, n)) or steps > effort:
-                return steps <= effort or bool(best)
-        if not fit:
-            best.append((left, taken))
-            return left == 0
-        return False
-
-    go(0, room, ())
-    return sorted(set(best), key=lambda x: (x[0], len(x[1]), tuple(-n for n in x[1])))
 
+def sums(taken: Filling) -> tuple[int, int]:
+    """What some, and what two or more, of the pieces add up to, as bits."""
+    one, more = 0, 0
+    for n, k in taken:
+        for _ in range(k):
+            more |= (more | one) << n
+            one |= 1 << n
+    return 1 | one | more, more
 
-def best_fit(lengths: list[int], size: int) -> list[list[int]]:
-    """Best-fit-decreasing: the incumbent."""
-    bins: list[list[int]] = []
-    by_room: list[list[int]] = [[] for _ in range(size + 1)]
-    for n in sorted(lengths, reverse=True):
-        room = next((r for r in range(n, size + 1) if by_room[r]), None)
-        if room is None:
-            bins.append([n])
-            by_room[size - n].append(len(bins) - 1)
-        else:
-            b = by_room[room].pop()
-            bins[b].append(n)
-            by_room[room - n].append(b)
-    return bins
 
+def dominated(taken: Filling, waste: int, free: int) -> bool:
+    """Whether a piece that is left over (bits ``free``) could stand for some of the pieces.
 
-def complete(lengths: list[int], size: int, effort: int = 3000) -> list[list[int]]:
-    """Branch and bound over bin completions of a few lengths; the incumbent is best-fit-decreasing."""
-    incumbent, steps = best_fit(lengths, size), 0
-    counts = [0] * (size + 1)
+    It may be longer than they are together, by the waste at most, or as long
+    as two or more of them: the exchange never needs another sequence.
+    """
+    some, more = sums(taken)
+    if more & free:
+        return True
+    reach, width = some << 1, 1  # moved up by 1 to ``waste``
+    if not waste:
+        return False
+    while width < waste:
+        step = min(width, waste - width)
+        reach |= reach << step
+        width += step
+    return bool(reach & free)
+
+
+def fillings(counts: list[int], room: int, most: int) -> Iterator[tuple[int, Filling]]:
+    """Undominated fillings of ``room`` that waste at most ``most``, least waste first: (waste, pieces)."""
+    lengths = [n for n in range(1, min(room, len(counts) - 1) + 1) if counts[n]]
+    full = (1 << room + 1) - 1
+    reach = [1]  # bit s of reach[k]: the first k lengths can add up to s
     for n in lengths:
-        counts[n] += 1
+        r, left, step = reach[-1], min(counts[n], room // n), 1
+        if r != full:
+            while left:
+                k = min(step, left)
+                r |= r << n * k & full
+                left, step = left - k, step * 2
+        reach.append(r)
+    free = sum(1 << n for n in lengths)
+
+    def branches(top: int, left: int) -> Iterator[tuple[int, int, int, int]]:
+        for i in range(min(top, bisect_right(lengths, left)) - 1, -1, -1):
+            if not reach[i + 1] >> left & 1:
+                return
+            n = lengths[i]
+            for k in range(min(counts[n], left // n), 0, -1):
+                if reach[i] >> left - k * n & 1:
+                    yield i, left - k * n, n, k
 
-    def go(done: list[list[int]], total: int, left: int) -> None:
-        nonlocal incumbent, steps
-        steps += 1
-        if not left:
-            if len(done) < len(incumbent):
-                incumbent = [list(b) for b in done]
-            return
-        if steps > effort or len(done) + -(-total // size) >= len(incumbent):  # waste bound
+    def exactly(total: int) -> Iterator[Filling]:
+        if not total:
+            yield ()
             return
-        longest = next(n for n in range(size, 0, -1) if counts[n])
-        counts[longest] -= 1
-        for _, fill in fillings(counts, size - longest)[:8] or [(size - longest, ())]:
-            for n in fill:
-                counts[n] -= 1
-            go([*done, [longest, *fill]], total - longest - sum(fill), left - 1 - len(fill))
-            for n in fill:
-                counts[n] += 1
-        counts[longest] += 1
-
-    if len(incumbent) > -(-sum(lengths) // size) and len(lengths) <= 400:
-        go([], sum(lengths), len(lengths))
-    return incumbent
-
-
-def plan(histogram: dict[int, int], size: int, tail: int = 200) -> list[tuple[int, tuple[int, ...]]]:
-    """(number of sequences, lengths in one of them), of the histogram of piece lengths.
-
-    The work is bounded by the number of lengths, not of pieces: each filling
-    is repeated until one of its lengths runs out.
+        taken: list[tuple[int, int]] = []
+        stack = [branches(len(lengths), total)]
+        while stack:
+            found = next(stack[-1], None)
+            if found is None:
+                stack.pop()
+                if taken:
+                    taken.pop()
+                continue
+            i, left, n, k = found
+            taken.append((n, k))
+            if left:
+                stack.append(branches(i, left))
+            else:
+                yield tuple(taken)
+                taken.pop()
+
+    for waste in range(min(most, room) + 1):
+        if reach[-1] >> room - waste & 1:
+            for taken in exactly(room - waste):
+                gone = sum(1 << n for n, k in taken if k == counts[n])
+                if not dominated(taken, waste, free & ~gone):
+                    yield waste, taken
+
+
+Pattern = tuple[int, Filling]  # how many sequences hold these pieces
+
+
+def best_fit(counts: list[int], size: int) -> list[Pattern]:
+    """Best-fit-decreasing, like sequences at once: the incumbent."""
+    rooms: dict[int, list[list]] = {}  # room -> [sequences, pieces]
+    for n in range(size, 0, -1):
+        left = counts[n]
+        for room in sorted(r for r in rooms if r >= n):
+            while left and rooms.get(room):
+                times, taken = rooms[room].pop()
+                k = room // n
+                used = min(times, left // k)
+                if used < times:
+                    rooms[room].append([times - used, taken])
+                if used:
+                    rooms.setdefault(room - k * n, []).append([used, (*taken, (n, k))])
+                    left -= used * k
+                elif left:  # one sequence takes what is left
+                    times, taken = rooms[room].pop()
+                    if times > 1:
+                        rooms[room].append([times - 1, taken])
+                    rooms.setdefault(room - left * n, []).append([1, (*taken, (n, left))])
+                    left = 0
+        k = size // n
+        if left // k:
+            rooms.setdefault(size - k * n, []).append([left // k, ((n, k),)])
+        if left % k:
+            rooms.setdefault(size - left % k * n, []).append([1, ((n, left % k),)])
+    return [(times, taken) for found in rooms.values() for times, taken in found]
+
+
+def bound(counts: list[int], size: int) -> int:
+    """Sequences that the pieces need at least: by their sum, and beside those over half a sequence."""
+    c = np.array(counts, dtype=np.int64)
+    n = np.arange(size + 1)
+    many, total = np.cumsum(c), np.cumsum(c * n)
+    half = size // 2
+    k = np.arange(half + 1)
+    large, middle = many[size] - many[size - k], many[size - k] - many[half]
+    room = middle * size - (total[size - k] - total[half])
+    below = total[half] - np.where(k > 0, total[k - 1], 0)
+    return int(max(-(-total[size] // size), (large + middle + np.maximum(0, -(-(below - room) // size))).max()))
+
+
+def plan(histogram: dict[int, int], size: int, effort: int = 4000) -> list[Pattern]:
+    """How many sequences hold which pieces, of the histogram of piece lengths: bin completion, depth first.
+
+    A node takes the longest piece left and an undominated filling of the room
+    beside it, the least waste first, as many times as the histogram allows:
+    what was the best filling stays it while its pieces last.  Other fillings,
+    and fewer times (halved), are tried on the way back.  A node is left if
+    its waste, or what ``bound`` asks for the rest, can't beat the incumbent.
+    The search ends at the bound, or when nothing is left to try, with the least
+    number of sequences; or after ``effort`` nodes with the best it has seen.
     """
     counts = [0] * (size + 1)
     for n, c in histogram.items():
         counts[n] = c
-    patterns: list[tuple[int, tuple[int, ...]]] = []
-    if counts[size]:
-        patterns.append((counts[size], (size,)))
-        counts[size] = 0
-    left = sum(counts)
-    longest = size
-    while left > tail:
-        while not counts[longest]:
-            longest -= 1
+    total, least = sum(n * c for n, c in enumerate(counts)), bound(counts, size)
+    best = best_fit(counts, size)
+    fewest = sum(t for t, _ in best)
+
+    def choices(longest: int, waste: int) -> Iterator[tuple[int, int, Filling]]:
         counts[longest] -= 1
-        found = fillings(counts, size - longest) or [(size - longest, ())]
+        # the first dive may end where the incumbent does: as good, and by completion
+        allowed = (fewest - settled) * size - total - waste
+        found = fillings(counts, size - longest, allowed)
         counts[longest] += 1
-        bin_ = (longest, *found[0][1])
-        need = Counter(bin_)
-        times = min(counts[n] // k for n, k in need.items())
-        # a filling with waste is the best of this histogram only; it is looked for again sooner
-        if found[0][0] and times > 1:
-            times = max(1, times // 2)
-        for n, k in need.items():
-            counts[n] -= k * times
-        left -= times * len(bin_)
-        patterns.append((times, bin_))
-    rest = [n for n in range(1, size + 1) for _ in range(counts[n])]
-    patterns += [(c, b) for b, c in Counter(tuple(sorted(b, reverse=True)) for b in complete(rest, size)).items()] if rest else []
-    return patterns
-
+        for extra, taken in found_with(found, longest):
+            need = dict(taken)
+            need[longest] = need.get(longest, 0) + 1
+            times = min(counts[n] // k for n, k in need.items())
+            if extra:
+                times = max(1, min(times, allowed // extra))
+            pieces = tuple(sorted(need.items(), reverse=True))
+            while times:
+                yield times, extra, pieces
+                times //= 2
+
+    def found_with(found: Iterator[tuple[int, Filling]], longest: int) -> Iterator[tuple[int, Filling]]:
+        while True:  # the fillings are looked for beside the longest piece, whenever that is asked for
+            counts[longest] -= 1
+            one = next(found, None)
+            counts[longest] += 1
+            if one is None:
+                return
+            yield one
+
+    settled, longest, waste, used, steps = 0, size, 0, 0, 0
+    path: list[tuple[int, Filling, int, int, int]] = []  # times, pieces, and longest, waste, used before
+    stack: list[Iterator] = []
+
+    def opened() -> Iterator | None:
+        nonlocal longest
+        while longest and not counts[longest]:
+            longest -= 1
+        return choices(longest, waste) if longest else None
 
-def seats(patterns: list[tuple[int, tuple[int, ...]]]) -> dict[int, tuple[np.ndarray, ...]]:
+    top = opened()
+    if top is None:
+        return []
+    stack.append(top)
+    while stack and steps < effort:
+        steps += 1
+        found = next(stack[-1], None)
+        if found is None:
+            stack.pop()
+            if path:
+                times, pieces, longest, waste, used = path.pop()
+                for n, k in pieces:
+                    counts[n] += k * times
+            continue
+        times, extra, pieces = found
+        before = longest, waste, used
+        for n, k in pieces:
+            counts[n] -= k * times
+        waste, used = waste + extra * times, used + times
+        path.append((times, pieces, *before))
+        inner = None
+        if used + bound(counts, size) <= fewest - settled:
+            inner = opened()
+            if inner is None:  # nothing is left
+                fewest, settled, best = used, 1, [(t, p) for t, p, *_ in path]
+                if fewest <= least:
+                    break
+        stack.append(inner or iter(()))
+    return best
+
+
+def seats(patterns: list[Pattern]) -> dict[int, tuple[np.ndarray, ...]]:
     """For each length: by rank, where its intervals begin, their first sequence, how many a sequence takes, and the first offset."""
     used: dict[int, int] = Counter()
     out: dict[int, list[tuple[int, int, int, int]]] = {}
     first = 0
-    for times, bin_ in patterns:
+    for times, pieces in patterns:
         offset = 0
-        for n, k in sorted(Counter(bin_).items(), reverse=True):
+        for n, k in pieces:
             out.setdefault(n, []).append((used[n], first, k, offset))
             used[n] += k * times
             offset += n * k

@@ -3,7 +3,7 @@
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -225,29 +225,84 @@ def test_added_tokens_are_one_id(spark):
         assert r["ids_crc32"] == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in [*ids[r["doc_id"]], 0]))
 
 
+def fewest(lengths, size):
+    best = len(lengths)
+
+    def go(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(lengths):
+            best = len(rooms)
+            return
+        for k in {r: k for k, r in enumerate(rooms) if r >= lengths[i]}.values():
+            rooms[k] -= lengths[i]
+            go(i + 1, rooms)
+            rooms[k] += lengths[i]
+        go(i + 1, [*rooms, size - lengths[i]])
+
+    go(0, [])
+    return best
+
+
+def sequences(histogram, size):
+    """How many, after a look at what they hold."""
+    used, patterns = defaultdict(int), best_fit_packing.plan(histogram, size)
+    for times, pieces in patterns:
+        assert sum(n * k for n, k in pieces) <= size
+        for n, k in pieces:
+            used[n] += times * k
+    assert dict(used) == {n: c for n, c in histogram.items() if c}
+    return sum(t for t, _ in patterns)
+
+
 def test_completion_is_as_good_as_any():
-    rng = random.Random(1)
-    for _ in range(40):
-        lengths = [rng.randint(1, 20) for _ in range(rng.randint(1, 9))]
-        best = len(lengths)
-
-        def go(i, rooms):
-            nonlocal best
-            if len(rooms) >= best:
-                return
-            if i == len(lengths):
-                best = len(rooms)
-                return
-            for k in range(len(rooms)):
-                if rooms[k] >= lengths[i]:
-                    rooms[k] -= lengths[i]
-                    go(i + 1, rooms)
-                    rooms[k] += lengths[i]
-            go(i + 1, [*rooms, 20 - lengths[i]])
-
-        go(0, [])
-        bins = best_fit_packing.complete(lengths, 20)
-        assert sorted(n for b in bins for n in b) == sorted(lengths) and max(map(sum, bins)) <= 20 and len(bins) == best
+    rng, better = random.Random(1), 0
+    for _ in range(300):
+        size = rng.choice([20, 30, 100])
+        lengths = sorted((rng.randint(1, size) if rng.random() < 0.3 else rng.randint(size // 6, size // 2) for _ in range(rng.randint(1, 12))), reverse=True)
+        histogram = Counter(lengths)
+        least = fewest(lengths, size)
+        assert sequences(histogram, size) == least, lengths
+        better += sum(t for t, _ in best_fit_packing.best_fit([histogram.get(n, 0) for n in range(size + 1)], size)) > least
+    assert better > 3  # best fit alone isn't
+
+
+def test_completion_of_large_and_lopsided_histograms():
+    cases = [({}, 0), ({1: 5000}, 3), ({2: 5000}, 5), ({1: 1500}, 1), ({1000: 1, 1: 2000}, 2), ({2048: 3}, 3), ({1300: 3 * 10**7, 700: 10**8, 1: 10**9}, 65_000_000)]
+    for histogram, n in cases:
+        assert sequences(histogram, 2048) == n
+    rng = random.Random(3)
+    many = Counter(min(2048, int(rng.lognormvariate(5.5, 1.2)) + 1) for _ in range(100_000))
+    assert sequences(many, 2048) == -(-sum(n * c for n, c in many.items()) // 2048)
+
+
+def test_fillings_are_all_the_undominated():
+    rng = random.Random(6)
+    for _ in range(60):
+        room = rng.randint(5, 24)
+        counts = [0] + [rng.choice([0, 0, 1, 2, 3]) for _ in range(room)]
+        got = list(best_fit_packing.fillings(counts, room, room))
+        assert [w for w, _ in got] == sorted(w for w, _ in got) and len({f for _, f in got}) == len(got)
+        every = [()]
+        for n in range(room, 0, -1):
+            every = [(*f, (n, k)) if k else f for f in every for k in range(counts[n] + 1) if sum(m * j for m, j in f) + n * k <= room]
+
+        def beaten(f):
+            pieces, waste = [n for n, k in f for _ in range(k)], room - sum(n * k for n, k in f)
+            parts = {(0, 0)}
+            for n in pieces:
+                parts |= {(s + n, c + 1) for s, c in parts}
+            return any(x > s and x <= s + waste or x == s and c > 1 for s, c in parts for x in range(1, room + 1) if counts[x] > dict(f).get(x, 0))
+
+        assert {f for _, f in got} == {f for f in every if not beaten(f)}
+
+
+def test_packing_of_many_tiny_documents(spark):
+    docs = spark.range(5000).selectExpr("id as doc_id", "case when id % 2 = 0 then '' end as text")
+    rows = best_fit_packing.pack(docs).collect()
+    n, total = check_packing(rows, {d: None for d in range(5000)}, 2048)
+    assert (n, total) == (3, 5000)
 
 
 # -- classifiers
