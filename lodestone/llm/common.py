@@ -24,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; a temporary one only where none is set and all is one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -37,7 +39,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete what ``cut`` wrote, once nothing reads it any more."""
+    for df in written:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.written)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -120,25 +132,24 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[p
         yield t, bounds(t)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component): of each id in ``edges`` (a, b) the smallest id that it reaches.
 
     Smallest labels spread over the edges and labels jump to their labels'
-    labels; each round is written to the shared folder.
+    labels, so rounds grow with the logarithm of a chain's length; each round
+    is written to the shared folder in place of the one before.
     """
-    spark = edges.sparkSession
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
-    label = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "labels")
-    for _ in range(rounds):
+    label = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("component"), F.lit(True).alias("moved")), "labels")
+    while label.where("moved").limit(1).count():
         near = both.join(label, both["b"] == label["id"]).groupBy(F.col("a").alias("near_id")).agg(F.min("component").alias("near"))
         step = label.join(near, label["id"] == near["near_id"], "left").select("id", F.col("component").alias("old"), F.least("component", "near").alias("new"))
         jump = label.select(F.col("id").alias("jump_id"), F.col("component").alias("jump"))
-        fresh = cut(step.join(jump, step["new"] == jump["jump_id"], "left").select("id", "old", F.least("new", "jump").alias("component")), "labels")
-        done = fresh.where("old <> component").limit(1).count() == 0
-        label = fresh.select("id", "component")
-        if done:
-            return label
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+        fresh = step.join(jump, step["new"] == jump["jump_id"], "left").select("id", F.least("new", "jump").alias("component"), (F.least("new", "jump") != F.col("old")).alias("moved"))
+        old, label = label, cut(fresh, "labels")
+        discard(old)
+    discard(both)
+    return label.select("id", "component")
 
 
 def release(spark: SparkSession) -> None:
