@@ -7,19 +7,24 @@ entry of an index by length; a line probes the indexes of its own length and of
 those up to ``threshold`` shorter with the substrings at which a segment can
 still lie (few, as the edits before and behind it are bounded).  Pairs that
 meet are verified: what both begin and end with is stripped, the rest goes
-through a banded bit-parallel edit distance whose band is one small integer.
-
-A key that more than ``CROWD`` lines share isn't paired out.  Its lines go to a
-finer index, of 32 segments (then 512, and so on), of which all but one must be
-equal; at segments of one byte what meets is a link.  So no group of near
-copies is compared pair by pair, and no link is lost.  (Finer indexes are for a
-threshold of one, which is the one in production; above it crowded keys are
-paired out.)
+through a banded bit-parallel edit distance (the diagonal recurrence of Hyyro,
+2003, "A bit-vector algorithm for computing Levenshtein and Damerau edit
+distances") whose band is one small integer.
+
+A key that more lines share than a finer look would cost isn't paired out.  Its
+lines go to a finer index, of 8 pieces (then 32, 128, and so on), of which all
+but ``threshold`` are equal in a link: a key is a line without one piece, or
+without two.  A key of that index again pairs out no more lines than the next
+one has keys, so the work for a line is bounded however many are like it; at
+pieces of one byte what meets is a link but for a byte or two.  No group of near copies is compared
+pair by pair, and no link is lost.  (Thresholds above two have no finer index:
+they pair out crowded keys and are not for production.)
 
 A line goes if an earlier line (by doc_id, then place) is equal or linked to
 it; it need not be kept itself.  Shorter lines and blank ones always stay.
 
-Null and empty texts have no lines.  Rows without doc_id are not judged and lose
+Null and empty texts have no lines; very long lines are lines like others.
+Only doc_id and text are read, so other columns may have any name.  Rows without doc_id are not judged and lose
 nothing; nor do rows of one doc_id remove each other's lines of equal place.
 """
 
@@ -32,7 +37,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import cut, only, partitions, release, shared_dir
 
-CROWD = 32
+CROWD = 64
 BLANKS = " \t\r\x0b\x0c"
 ID = ("h1", "h2")
 
@@ -65,7 +70,7 @@ def piece(content: Column, start: Column, length: Column) -> Column:
 
 
 def segment_keys(classes: DataFrame, threshold: int) -> DataFrame:
-    """h1, h2, key, own: the index entries (own) and the probes of each line."""
+    """h1, h2, key: the index entries (odd keys) and the probes (even ones) of each line."""
     content, n, k = F.col("content"), F.length("content"), threshold + 1
     out = []
     for d in range(threshold + 1):
@@ -74,52 +79,94 @@ def segment_keys(classes: DataFrame, threshold: int) -> DataFrame:
             at, size = F.floor(m * i / k).cast("int"), (F.floor(m * (i + 1) / k) - F.floor(m * i / k)).cast("int")
             for shift in range(max(-i, d - (threshold - i)), min(i, d + (threshold - i)) + 1):
                 fits = (m > 0) & (at + shift >= 0) & (at + shift + size <= n)
-                key = F.when(fits, F.xxhash64(m, F.lit(i), piece(content, at + shift, size)))
-                out.append(F.struct(key.alias("key"), F.lit(d == 0 and shift == 0).alias("own")))
-    return classes.select(*ID, F.explode(F.array(*out)).alias("k")).select(*ID, "k.key", "k.own").where("key is not null")
+                out.append(F.when(fits, marked(F.xxhash64(m, F.lit(i), piece(content, at + shift, size)), d == 0 and shift == 0)))
+    return classes.select(*ID, F.explode(F.array(*out)).alias("key")).where("key is not null")
+
+
+def marked(key: Column, own: bool) -> Column:
+    """A key whose lowest bit tells an index entry."""
+    return key.bitwiseOR(F.lit(1)) if own else key.bitwiseAND(F.lit(-2))
+
+
+def n_keys(pieces: int, threshold: int) -> int:
+    """How many keys ``hole_keys`` gives a line."""
+    return (threshold + 1) * pieces + (0 if threshold == 1 else 5 * pieces * (pieces - 1) // 2)
+
 
+def hole_keys(classes: DataFrame, pieces: int, threshold: int) -> DataFrame:
+    """The same, for ``pieces`` pieces of which as many as the threshold may differ; a line has no more pieces than bytes.
 
-def hole_keys(classes: DataFrame, pieces: int) -> DataFrame:
-    """The same, for ``pieces`` segments of which one may differ; a line has no more segments than bytes."""
-    parts = []
-    for d in (0, 1):
+    Pieces are those of the index's line.  A line that is ``d`` longer is read
+    as if it had ``d`` bytes more before the end of its only hole, or ``s`` of
+    them before the end of the first of two.  Of lines of one length the one
+    that has a byte more there asks for the other.
+    """
+    content, parts = F.col("content"), []
+    for d in range(threshold + 1):
         m = F.length("content") - d
         k = F.least(F.lit(pieces), m)
 
-        def keys(j: Column) -> Column:  # used at once, before the loop goes on
-            start, end = F.floor(m.cast("long") * j / k).cast("int"), F.floor(m.cast("long") * (j + 1) / k).cast("int")
-            return F.xxhash64(F.lit(pieces), m, start, piece(F.col("content"), F.lit(0), start), piece(F.col("content"), end + d, m - end))
+        # all of these are used at once, before the loop goes on
+        def edge(j: Column) -> Column:  # where a piece starts
+            return F.floor(m.cast("long") * j / k).cast("int")
+
+        def one(i: Column) -> Column:
+            return marked(F.xxhash64(F.lit(pieces), m, edge(i), F.lit(-1), piece(content, F.lit(0), edge(i)), piece(content, edge(i + 1) + d, m - edge(i + 1))), d == 0)
 
-        parts.append(classes.where(m > 0).select(*ID, F.explode(F.transform(F.sequence(F.lit(0), k - 1), keys)).alias("key"), F.lit(d == 0).alias("own")))
-    return parts[0].unionByName(parts[1])
+        def two(s: int) -> Column:
+            def key(i: Column, j: Column) -> Column:
+                start, end, start2, end2 = edge(i), edge(i + 1), edge(j), edge(j + 1)
+                return marked(F.xxhash64(F.lit(pieces), m, start, start2, piece(content, F.lit(0), start), piece(content, end + s, start2 - end), piece(content, end2 + d, m - end2)), d == 0 and s == 0)
+
+            firsts = F.when(k > 1, F.sequence(F.lit(0), k - 2)).otherwise(F.array().cast("array<int>"))
+            return F.flatten(F.transform(firsts, lambda i: F.transform(F.sequence(i + 1, k - 1), lambda j: key(i, j))))
+
+        keys = F.transform(F.sequence(F.lit(0), k - 1), one)
+        if threshold == 2:
+            keys = F.concat(keys, *[two(s) for s in {0: (0, 1), 1: (0, 1), 2: (1,)}[d]])
+        parts.append(classes.where(m > 0).select(*ID, F.explode(keys).alias("key")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def meetings(keys: DataFrame, crowd: int | None) -> DataFrame:
-    """a1, a2, b1, b2, crowded: pairs that share a key; of a crowded key one row for each line that asks for it."""
-    index = keys.where("own").select("key", F.col("h1").alias("b1"), F.col("h2").alias("b2"))
-    by_key = Window.partitionBy("key")
-    sized = index.withColumn("crowded", F.count("*").over(by_key) > crowd if crowd else F.lit(False)).withColumn("at", F.row_number().over(by_key.orderBy("b1", "b2")) if crowd else F.lit(1))
-    sized = sized.where("not crowded or at = 1").drop("at")
-    probes = keys.select("key", "own", F.col("h1").alias("a1"), F.col("h2").alias("a2"))
+    """h1, h2, key and whether too many index entries share the key; rows that meet nothing are left out."""
+    same = Window.partitionBy(F.shiftright("key", 1).alias("place"))
+    entries = F.sum(F.col("key").bitwiseAND(F.lit(1))).over(same)
+    met = keys.withColumn("entries", entries).withColumn("rows", F.count("*").over(same)).where("entries > 0 and rows > 1")
+    return cut(met.select(*ID, "key", (F.col("entries") > (crowd or 1 << 62)).alias("crowded")), "met")
+
+
+def paired(met: DataFrame) -> DataFrame:
+    """a1, a2, b1, b2: pairs that meet at keys that are not crowded."""
+    small = met.where("not crowded")
+    index = small.where(F.col("key").bitwiseAND(F.lit(1)) == 1).select(F.shiftright("key", 1).alias("place"), F.col("h1").alias("b1"), F.col("h2").alias("b2"))
+    probes = small.select(F.shiftright("key", 1).alias("place"), F.col("key").bitwiseAND(F.lit(1)).alias("own"), F.col("h1").alias("a1"), F.col("h2").alias("a2"))
     # two index entries meet both ways; one is enough
-    once = F.expr("crowded or (own and (a1 < b1 or a1 = b1 and a2 < b2)) or (not own and (a1 <> b1 or a2 <> b2))")
-    return probes.join(sized, "key").where(once).select("a1", "a2", "b1", "b2", "crowded")
+    once = F.expr("own = 1 and (a1 < b1 or a1 = b1 and a2 < b2) or own = 0 and (a1 <> b1 or a2 <> b2)")
+    return probes.join(index, "place").where(once).select("a1", "a2", "b1", "b2")
 
 
 def candidates(classes: DataFrame, threshold: int, crowd: int) -> DataFrame:
     """Distinct a1, a2, b1, b2 that hold all links."""
-    met = cut(meetings(segment_keys(classes, threshold), crowd if threshold == 1 else None), "met")
-    found, pieces = met.where("not crowded"), 2
-    while threshold == 1:
+    pieces = 8
+    met = meetings(segment_keys(classes, threshold), crowd if threshold <= 2 else None)
+    found = paired(met)
+    while threshold <= 2:
         release(classes.sparkSession)
-        crowded = met.where("crowded").select(F.col("a1").alias("h1"), F.col("a2").alias("h2")).distinct()
+        crowded = met.where("crowded").select(*ID).distinct()
         longest = crowded.join(classes, list(ID)).agg(F.max(F.length("content"))).first()[0]
         if longest is None:
             break
-        pieces *= 16
         fine = crowded.hint("shuffle_hash").join(classes, list(ID)).select(*ID, "content")
-        met = cut(meetings(hole_keys(fine, pieces), crowd if pieces < longest else None), "met")
-        found = found.unionByName(met.where("not crowded"))
+        last = pieces >= longest
+        met = meetings(hole_keys(fine, pieces, threshold), None if last else max(crowd, n_keys(4 * pieces, threshold) if crowd >= CROWD else crowd))
+        found = found.unionByName(paired(met))
+        if last:
+            break
+        pieces *= 4
     turned = F.expr("a1 < b1 or a1 = b1 and a2 < b2")
     ends = [F.when(turned, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a1", "b1"), ("a2", "b2"), ("b1", "a1"), ("b2", "a2"))]
     return found.select(*ends).distinct()
@@ -194,7 +241,7 @@ def within(a: Column, b: Column, threshold: int) -> Column:
     return let(common_start(a, b, least, piece), behind)
 
 
-def links_of(classes: DataFrame, threshold: int = 1, crowd: int = CROWD) -> DataFrame:
+def links_of(classes: DataFrame, threshold: int = 2, crowd: int = CROWD) -> DataFrame:
     """a1, a2, b1, b2 and the first places of each pair of linked classes, once."""
     pairs = candidates(classes, threshold, crowd)
     a, b = (classes.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("content").alias(f"{x}_content"), F.col("first").alias(f"{x}_first")) for x in "ab")
@@ -202,7 +249,7 @@ def links_of(classes: DataFrame, threshold: int = 1, crowd: int = CROWD) -> Data
     return cut(both.where(within(F.col("a_content"), F.col("b_content"), threshold)).select("a1", "a2", "b1", "b2", "a_first", "b_first"), "links")
 
 
-def judged(docs: DataFrame, threshold: int = 1, least: int = 16, crowd: int = CROWD) -> DataFrame:
+def judged(docs: DataFrame, threshold: int = 2, least: int = 16, crowd: int = CROWD) -> DataFrame:
     """doc_id, row, line_no, class_doc_id, class_line_no (the class's first line), n_links (classes linked with it) and removed, of every judged line."""
     spark = docs.sparkSession
     classes = classes_of(lines_of(docs, least))
@@ -223,7 +270,7 @@ def judged(docs: DataFrame, threshold: int = 1, least: int = 16, crowd: int = CR
     return found.select("doc_id", "row", "line_no", first["doc_id"].alias("class_doc_id"), first["line_no"].alias("class_line_no"), F.col("known.n_links").alias("n_links"), gone.alias("removed"))
 
 
-def without_repeated_lines(docs: DataFrame, threshold: int = 1, least: int = 16) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, threshold: int = 2, least: int = 16) -> DataFrame:
     """``docs`` without the lines that go, ``n_chars`` (if there) set anew; a document of which only blanks are left goes."""
     drops = judged(docs, threshold, least).where("removed").groupBy("doc_id", "row").agg(F.collect_set(F.col("line_no").cast("int")).alias("drop"))
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
@@ -244,13 +291,9 @@ with l as (
   select doc_id, line_no, trim(line, e' \\t\\r\\x0b\\x0c') as line
   from (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as line_no from documents where doc_id is not null)
 ), o as (select * from l where strlen(line) >= 16
-), c as (select line, length(line) as n, min(row(doc_id, line_no)) as first from o group by line
-), half as (select *, n // 2 as h from c
-), met as (
-  select a.line as x, b.line as y from half a join half b on b.n in (a.n, a.n + 1) and left(a.line, a.h) = left(b.line, a.h)
-  union
-  select a.line, b.line from half a join half b on b.n in (a.n, a.n + 1) and right(a.line, a.n - a.h) = right(b.line, a.n - a.h)
-), p as (select x, y from met where x <> y and levenshtein(x, y) <= 1
+), c as (select line, strlen(line) as n, min(row(doc_id, line_no)) as first from o group by line
+), p as (
+  select a.line as x, b.line as y from c a join c b on b.n between a.n and a.n + 2 and (a.n < b.n or a.line < b.line) where levenshtein(a.line, b.line) <= 2
 ), e as (select x, y from p union select y, x from p
 ), near as (select e.x as line, count(*) as n_links, min(c.first) as near from e join c on c.line = e.y group by 1)
 select o.doc_id, cast(o.line_no as bigint) as line_no, c.first[1] as class_doc_id, cast(c.first[2] as bigint) as class_line_no,

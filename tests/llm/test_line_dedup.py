@@ -41,7 +41,7 @@ def edited(rng, line):
     return "".join(out)
 
 
-@pytest.mark.parametrize("threshold, crowd", [(1, 32), (1, 2), (2, 32), (3, 32)])
+@pytest.mark.parametrize("threshold, crowd", [(1, 64), (1, 2), (2, 64), (2, 2), (3, 64)])
 def test_against_brute_force(spark, threshold, crowd):
     rng = random.Random(threshold * 100 + crowd)
     stems = ["".join(rng.choice("abcde ") for _ in range(rng.randint(16, 60))) for _ in range(6)]
@@ -50,16 +50,45 @@ def test_against_brute_force(spark, threshold, crowd):
     assert found(spark, docs, threshold=threshold, least=12, crowd=crowd) == brute(docs, threshold, 12)
 
 
-def test_crowded_keys_are_refined_and_lose_nothing(spark):
+@pytest.mark.parametrize("threshold", [1, 2])
+def test_crowded_keys_are_refined_and_lose_nothing(spark, threshold):
     rng = random.Random(4)
-    stem = [rng.choice("abcdefgh") for _ in range(80)]
+    stem = [rng.choice("abcdefgh") for _ in range(40)]
     lines = set()
-    for k in range(60):
+    for k in range(70):
         x = list(stem)
-        x[rng.randrange(80)] = "XYZ"[k % 3]
+        for _ in range(rng.randint(1, 2)):
+            at = rng.randrange(len(x))
+            rng.choice([lambda: x.insert(at, "Z"), lambda: x.pop(at), lambda: x.__setitem__(at, "XYZ"[k % 3])])()
         lines.add("".join(x))
     docs = list(enumerate(sorted(lines)))
-    assert found(spark, docs, crowd=3) == brute(docs, 1, 16)
+    assert found(spark, docs, crowd=3, threshold=threshold) == brute(docs, threshold, 16)
+
+
+@pytest.mark.parametrize("pieces, threshold", [(8, 1), (8, 2), (64, 2)])
+def test_finer_keys_meet_all_links(spark, pieces, threshold):
+    rng = random.Random(pieces)
+    stem = "".join(rng.choice("abcd") for _ in range(30))
+    lines = sorted({edited(rng, stem).encode() for _ in range(60)} | {rng.randbytes(3) for _ in range(8)})
+    rows = spark.createDataFrame([(k, 0, bytearray(x)) for k, x in enumerate(lines)], "h1 long, h2 long, content binary")
+    keys = line_dedup.hole_keys(rows, pieces, threshold)
+    assert max(r["count"] for r in keys.groupBy("h1").count().collect()) <= line_dedup.n_keys(pieces, threshold)
+    met = {tuple(sorted((r["a1"], r["b1"]))) for r in line_dedup.paired(line_dedup.meetings(keys, None)).collect()}
+    near = {(i, j) for j in range(len(lines)) for i in range(j) if distance(lines[i], lines[j]) <= threshold}
+    assert met >= near
+
+
+@pytest.mark.parametrize("far", [0, 1, 2, 3])
+def test_planted_links_at_each_distance(spark, far, monkeypatch):
+    """Two edits far from each other are told by the banded distance alone."""
+    line = "Deliveries to the northern depot resume on the third of May, at dawn."
+    at = (5, 30, 61)[:far]
+    other = "".join("#" if k in at else c for k, c in enumerate(line))
+    docs = [(1, line), (2, other), (3, "a line of its own that is long enough")]
+    assert [r[-1] for r in found(spark, docs, threshold=2)] == [False, far <= 2, False]
+    if far == 2:
+        monkeypatch.setattr(line_dedup, "banded", lambda x, y, t: F.lit(False))
+        assert [r[-1] for r in found(spark, docs, threshold=2)] == [False, False, False]
 
 
 @pytest.mark.parametrize("threshold", [1, 2, 3])

@@ -46,7 +46,7 @@ def test_quality_keeps_the_good(spark, steps):
 
 def test_lines(steps):
     before, after = (texts(d) for d in steps["lines"])
-    gone = {(d, n) for d, n, *_, removed in removed_lines(list(before.items()), 1, 16) if removed}
+    gone = {(d, n) for d, n, *_, removed in removed_lines(list(before.items()), 2, 16) if removed}
     assert gone
     for doc, text in before.items():
         left = [x for n, x in enumerate((text or "").split("\n")) if (doc, n) not in gone]
