@@ -1,8 +1,8 @@
 """A training corpus from raw documents: five stages, each over all that its predecessor kept.
 
 1. quality classifier: rows whose text scores under one half go;
-2. line dedup: lines that an earlier document (or place) has, or has but for one
-   byte edit, go, and with them documents of which only blanks are left;
+2. line dedup: lines that an earlier document (or place) has, or has but for two
+   byte edits, go, and with them documents of which only blanks are left;
 3. near duplicates: of each group linked by five-word shingles at 80 % only the
    smallest doc_id stays (rows without doc_id stay);
 4. decontamination: documents that hold a benchmark item, as it is or with other
