@@ -6,7 +6,7 @@ linked.  A class's bytes are split into threshold-plus-one segments, each an
 entry of an index by length; a line probes the indexes of its own length and of
 those up to ``threshold`` shorter with the substrings at which a segment can
 still lie (few, as the edits before and behind it are bounded).  Pairs that
-meet are verified: what both begin and end with is stripped, the rest goes
+meet, and whose letter counts an edit or two could make alike, are verified: what both begin and end with is stripped, the rest goes
 through a banded bit-parallel edit distance (the diagonal recurrence of Hyyro,
 2003, "A bit-vector algorithm for computing Levenshtein and Damerau edit
 distances") whose band is one small integer.
@@ -40,6 +40,8 @@ from lodestone.llm.common import cut, only, partitions, release, shared_dir
 CROWD = 64
 BLANKS = " \t\r\x0b\x0c"
 ID = ("h1", "h2")
+#: Bytes whose counts are compared, by being odd or even, before two lines are.
+COUNTED = "etaoinshrdlcumwfgypb0123456789"
 
 
 def lines_of(docs: DataFrame, least: int) -> DataFrame:
@@ -53,12 +55,21 @@ def lines_of(docs: DataFrame, least: int) -> DataFrame:
 def classes_of(lines: DataFrame) -> DataFrame:
     """One row for each different line, as a table bucketed by its hashes: later joins move only what they add."""
     spark = lines.sparkSession
-    found = lines.groupBy(*ID).agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies"), F.any_value("line").cast("binary").alias("content"))
+    found = lines.groupBy(*ID).agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies"), F.any_value("line").alias("line"))
+    found = found.select(*ID, "first", "copies", F.col("line").cast("binary").alias("content"), odd(F.col("line")).alias("odd"))
     name = f"lodestone_lines_{uuid.uuid4().hex}"
     found.write.option("path", f"{shared_dir(spark)}/lodestone/{name}").bucketBy(min(50_000, partitions(spark)), *ID).saveAsTable(name)
     return spark.table(name)
 
 
+def odd(line: Column) -> Column:
+    """A bit for each of COUNTED that the line holds an odd number of times; an edit turns two at most."""
+    n, out = F.length(line), F.lit(0)
+    for k, c in enumerate(COUNTED):
+        out = out.bitwiseOR(F.shiftleft((n - F.length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(1)), k))
+    return out
+
+
 def let(value: Column, use) -> Column:
     """``use`` of a value that is computed once."""
     return F.transform(F.array(value), use)[0]
@@ -131,39 +142,41 @@ def hole_keys(classes: DataFrame, pieces: int, threshold: int) -> DataFrame:
     return out
 
 
-def meetings(keys: DataFrame, crowd: int | None) -> DataFrame:
-    """h1, h2, key and whether too many index entries share the key; rows that meet nothing are left out."""
+def meetings(keys: DataFrame, classes: DataFrame, crowd: int | None) -> DataFrame:
+    """h1, h2, odd, key and whether too many index entries share the key; rows that meet nothing are left out."""
     same = Window.partitionBy(F.shiftright("key", 1).alias("place"))
     entries = F.sum(F.col("key").bitwiseAND(F.lit(1))).over(same)
     met = keys.withColumn("entries", entries).withColumn("rows", F.count("*").over(same)).where("entries > 0 and rows > 1")
-    return cut(met.select(*ID, "key", (F.col("entries") > (crowd or 1 << 62)).alias("crowded")), "met")
+    met = met.select(*ID, "key", (F.col("entries") > (crowd or 1 << 62)).alias("crowded"))
+    return cut(met.hint("shuffle_hash").join(classes.select(*ID, "odd"), list(ID)), "met")
 
 
-def paired(met: DataFrame) -> DataFrame:
-    """a1, a2, b1, b2: pairs that meet at keys that are not crowded."""
+def paired(met: DataFrame, threshold: int) -> DataFrame:
+    """a1, a2, b1, b2: pairs that meet at keys that are not crowded, unless their letter counts are too far apart."""
     small = met.where("not crowded")
-    index = small.where(F.col("key").bitwiseAND(F.lit(1)) == 1).select(F.shiftright("key", 1).alias("place"), F.col("h1").alias("b1"), F.col("h2").alias("b2"))
-    probes = small.select(F.shiftright("key", 1).alias("place"), F.col("key").bitwiseAND(F.lit(1)).alias("own"), F.col("h1").alias("a1"), F.col("h2").alias("a2"))
+    index = small.where(F.col("key").bitwiseAND(F.lit(1)) == 1).select(F.shiftright("key", 1).alias("place"), F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("odd").alias("b_odd"))
+    probes = small.select(F.shiftright("key", 1).alias("place"), F.col("key").bitwiseAND(F.lit(1)).alias("own"), F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("odd").alias("a_odd"))
     # two index entries meet both ways; one is enough
     once = F.expr("own = 1 and (a1 < b1 or a1 = b1 and a2 < b2) or own = 0 and (a1 <> b1 or a2 <> b2)")
-    return probes.join(index, "place").where(once).select("a1", "a2", "b1", "b2")
+    alike = F.bit_count(F.col("a_odd").bitwiseXOR(F.col("b_odd"))) <= 2 * threshold
+    return probes.join(index, "place").where(once & alike).select("a1", "a2", "b1", "b2")
 
 
 def candidates(classes: DataFrame, threshold: int, crowd: int) -> DataFrame:
     """Distinct a1, a2, b1, b2 that hold all links."""
     pieces = 8
-    met = meetings(segment_keys(classes, threshold), crowd if threshold <= 2 else None)
-    found = paired(met)
+    met = meetings(segment_keys(classes, threshold), classes, crowd if threshold <= 2 else None)
+    found = paired(met, threshold)
     while threshold <= 2:
         release(classes.sparkSession)
         crowded = met.where("crowded").select(*ID).distinct()
         longest = crowded.join(classes, list(ID)).agg(F.max(F.length("content"))).first()[0]
         if longest is None:
             break
-        fine = crowded.hint("shuffle_hash").join(classes, list(ID)).select(*ID, "content")
+        fine = crowded.hint("shuffle_hash").join(classes, list(ID)).select(*ID, "content", "odd")
         last = pieces >= longest
-        met = meetings(hole_keys(fine, pieces, threshold), None if last else max(crowd, n_keys(4 * pieces, threshold) if crowd >= CROWD else crowd))
-        found = found.unionByName(paired(met))
+        met = meetings(hole_keys(fine, pieces, threshold), fine, None if last else max(crowd, n_keys(4 * pieces, threshold) if crowd >= CROWD else crowd))
+        found = found.unionByName(paired(met, threshold))
         if last:
             break
         pieces *= 4

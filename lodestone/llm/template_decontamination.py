@@ -7,39 +7,49 @@ hash-joined with those of every document, so a question with other numbers or
 names still matches; then the slots are checked: over all matched windows of one
 alignment (item and document at one distance) one benchmark value must stand for
 one document value and the other way round, or the window is thrown out.  An
-item leaks into a document if six of its windows (all, if it has fewer) are left
-in one alignment, however long it is, or a quarter of them and six over all
-alignments, or if a run of 13 words (the whole item, if it is shorter) is in the
-document as it is, whatever its case, marks and literals.
+item leaks into a document if ``least`` of its windows (all, if it has fewer)
+are left in one alignment, however long it is, or a ``share`` of them and
+``least`` over all alignments, or if a run of ``exact`` words (the whole item, if
+it is shorter) is in the document as it is, whatever its case, marks and
+literals.  Of a window that an item holds more than once its first place counts,
+so repeats cost as many rows as they have windows and no pairs of places.
 
 A capitalised word at a sentence's start may be a name or not, and what starts a
 sentence in one text may not in another (behind a heading): windows are also
 matched with every capitalised word as a name.  A window needs three literal
 words; what only starts of sentences make literal must then be equal.  Items
-shorter than a window are matched as one window of their own length.  The benchmark side is joined from memory in
-chunks of at most ``chunk`` windows, however many there are; documents stream
-past each chunk and are never shuffled.
-
-Null and empty texts match nothing; repeated items each match; a row without
-doc_id matches like any other and an item without item_id too.
+shorter than a window are matched as one window of their own length.
+
+The join is Spark's: both sides give rows of windows, joined on their hash and
+compared word by word.  Before it, documents drop the windows that no item can
+have by a Bloom filter of the benchmark's windows, of ``MOST_BITS`` bits at most;
+documents themselves are never shuffled.
+
+Null and empty texts match nothing.  A row without doc_id matches like any other
+and an item without item_id too.  Rows that are equal in doc_id and text give one
+row for each item, as do items equal in item_id and text.  Very long texts are
+matched whole.  Only ids and texts are read, so other columns may have any name;
+empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import mix64, only, tidy
+from lodestone.llm.common import cut, mix64, only, runs, tidy
 
-WIDTH, LITERALS, HELD, EXACT = 8, 3, 6, 13
+WIDTH, LITERALS = 8, 3
+MOST_BITS = 1 << 27
+#: Rows of 24 bytes that are sent to every task at most.
+FEW = 1_000_000
 NUMBER = re.compile(r"[+-]?[$€£]?\d+(?:[.,:/]\d+)*(?:st|nd|rd|th|%)?")
 GLUED = re.compile(r"([+-]?[$€£]?\d+(?:[.,]\d+)*)([a-zA-Zµ°]+)")
 NUMERALS = set("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split())
@@ -146,95 +156,71 @@ def literals(slots: np.ndarray, width: int) -> np.ndarray:
     return total[width : width + n] - total[:n] >= min(LITERALS, width)
 
 
-class Index:
-    """Hash -> places, with bits to pass over most other hashes."""
-
-    def __init__(self, rows: list[tuple]):
-        self.places = defaultdict(list)
-        for h, *place in rows:
-            self.places[h].append(tuple(place))
-        self.keys = np.array(sorted(self.places), dtype=np.uint64)
-        self.bits = np.zeros(1 << 21, dtype=bool)
-        self.bits[self.keys >> np.uint64(43)] = True
-
-    def find(self, h: np.ndarray, text: np.ndarray, width: int) -> list[int]:
-        """The windows that lie in one text and have a place."""
-        at = np.flatnonzero(self.bits[h >> np.uint64(43)])
-        at = at[text[at] == text[at + width - 1]]
-        spot = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
-        return at[self.keys[spot] == h[at]].tolist()
-
-
-class Benchmark:
-    """A chunk of benchmark items, ready to be matched."""
-
-    def __init__(self, items: list[tuple[int | None, str | None]]):
-        text, *columns = Words().look([t for _, t in items])
-        bounds = np.searchsorted(text, np.arange(len(items) + 1))
-        self.ids, self.parts = [i for i, _ in items], [[c[a:b] for c in columns] for a, b in zip(bounds, bounds[1:], strict=False)]
-        self.width = [min(WIDTH, int(b - a)) for a, b in zip(bounds, bounds[1:], strict=False)]
-        self.total = [0] * len(items)
-        by_width, exact = defaultdict(list), defaultdict(list)
-        for k, ((c, s, names, _, v), w) in enumerate(zip(self.parts, self.width, strict=True)):
-            if w:
-                good, plain, named = literals(s, w), Hashes(c).of(w), Hashes(names).of(w)
-                self.total[k] = int(good.sum())
-                for i in np.flatnonzero(good).tolist():
-                    by_width[w].append((int(plain[i]), k, i, False))
-                    if w >= LITERALS:  # shorter items have literals alone, which the exact match finds
-                        by_width[w].append((int(named[i]), k, i, True))
-                e = min(EXACT, len(v))
-                exact[e] += [(h, k, i) for i, h in enumerate(Hashes(v).of(e).tolist())]
-        self.by_width, self.exact = ({w: Index(rows) for w, rows in x.items()} for x in (by_width, exact))
-
-    def match(self, words: Words, texts: list[str | None]) -> list[tuple]:
-        """(text, item, windows that hold, windows of the item, slots, slots with another value) of each leak."""
-        text, codes, _, names, _, values = words.look(texts)
-        found: dict[tuple[int, int], list[tuple[int, int, bool]]] = defaultdict(list)
-        for named, h in ((False, Hashes(codes)), (True, Hashes(names))):
-            for w, index in self.by_width.items():
-                hashes = h.of(w)
-                for i in index.find(hashes, text, w):
-                    for k, j, which in index.places[int(hashes[i])]:
-                        if which == named:
-                            found[int(text[i]), k].append((i, j, named))
-        same, h = set(), Hashes(values)
-        for w, index in self.exact.items():
-            hashes = h.of(w)
-            for i in index.find(hashes, text, w):
-                for k, j in index.places[int(hashes[i])]:
-                    if (int(text[i]), k) not in same and np.array_equal(values[i : i + w], self.parts[k][4][j : j + w]):
-                        same.add((int(text[i]), k))
-        out = []
-        for t, k in dict.fromkeys([*found, *sorted(same)]):
-            held, changed, most = self.held(k, found.get((t, k), []), codes, names, values)
-            total = self.total[k]
-            if (t, k) in same or held and (most >= min(HELD, total) or len(held) >= max(min(HELD, total), -(-total // 4))):
-                out.append((t, self.ids[k], len(held), total, len(changed), sum(changed.values())))
-        return out
-
-    def held(self, k: int, pairs: list[tuple[int, int, bool]], codes: np.ndarray, names: np.ndarray, values: np.ndarray) -> tuple[set[int], dict[int, bool], int]:
-        """Of item ``k``: the windows that hold, its slots and whether their value is another, and the most windows of one alignment."""
-        c, s, c_named, s_named, v = self.parts[k]
-        w, held, changed, most, last = self.width[k], set(), {}, 0, None
-        for i, j, named in sorted(pairs, key=lambda p: (p[0] - p[1], p[1], p[2])):
-            if last != i - j:
-                last, there, back, here = i - j, {}, {}, set()
-            if j in here or not np.array_equal((names if named else codes)[i : i + w], (c_named if named else c)[j : j + w]):
-                continue
-            marks = s_named if named else s
-            spots = [x for x in range(w) if marks[j + x]]
-            new = [(int(v[j + x]), int(values[i + x])) for x in spots]
-            if w - len(spots) < min(LITERALS, w) and any(a != b and not s[j + x] for x, (a, b) in zip(spots, new, strict=True)):
-                continue
-            trial, kcab = dict(there), dict(back)
-            if all(trial.setdefault(a, b) == b and kcab.setdefault(b, a) == a for a, b in new):
-                there, back = trial, kcab
-                here.add(j)
-                held.add(j)
-                most = max(most, len(here))
-                changed |= {j + x: a != b for x, (a, b) in zip(spots, new, strict=True) if s[j + x] or a != b}
-        return held, changed, most
+PLAIN, NAMED, SAME = 0, 1, 2  # kinds of windows
+WINDOWS = "item_id long, item long, kind int, width int, hash long, codes binary, place int, slots int, marks int, values binary, total int"
+
+
+def item_windows(text: str | None, exact: int) -> list[tuple]:
+    """kind, width, hash, codes, place, its slots and those of its placeholders (bits), values and how many windows the item has."""
+    _, codes, slots, names, named_slots, values = Words().look([text])
+    n = len(codes)
+    if not n:
+        return []
+    width, out = min(WIDTH, n), []
+    good = literals(slots, width)
+    kinds = [(PLAIN, codes, slots)]
+    if width >= LITERALS:  # shorter items have literals alone, which the exact match finds
+        kinds.append((NAMED, names, named_slots))
+    total = len({codes[i : i + width].tobytes() for i in np.flatnonzero(good).tolist()})
+    for kind, own, marks in kinds:
+        seen, hashes = set(), Hashes(own).of(width).tolist()
+        for i in np.flatnonzero(good).tolist():
+            key = own[i : i + width].tobytes()
+            if key not in seen:
+                seen.add(key)
+                bits = [int(sum(1 << x for x in np.flatnonzero(m[i : i + width]).tolist())) for m in (slots, marks)]
+                out.append((kind, width, hashes[i], key, i, *bits, values[i : i + width].tobytes(), total))
+    width = min(exact, n)
+    same = {values[i : i + width].tobytes(): h for i, h in enumerate(Hashes(values).of(width).tolist())}
+    return out + [(SAME, width, h, key, 0, 0, 0, b"", total) for key, h in same.items()]
+
+
+def benchmark_windows(benchmark: DataFrame, exact: int) -> DataFrame:
+    """WINDOWS of all items."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item_id, item, text in zip(*[batch.column(c).to_pylist() for c in ("item_id", "item", "text")], strict=True):
+                rows = item_windows(text, exact)
+                hashes = pa.array(np.array([r[2] for r in rows], dtype=np.uint64).view(np.int64))
+                ints, binary = pa.int32(), pa.binary()
+                columns = [pa.array([item_id] * len(rows), pa.int64()), pa.array([item] * len(rows), pa.int64()), pa.array([r[0] for r in rows], ints), pa.array([r[1] for r in rows], ints), hashes]
+                columns += [pa.array([r[k] for r in rows], t) for k, t in ((3, binary), (4, ints), (5, ints), (6, ints), (7, binary), (8, ints))]
+                yield pa.RecordBatch.from_arrays(columns, names=["item_id", "item", "kind", "width", "hash", "codes", "place", "slots", "marks", "values", "total"])
+
+    items = only(benchmark, "item_id", "text").where("text is not null").distinct()
+    return items.withColumn("item", F.xxhash64("item_id", "text")).mapInArrow(tidy(kernel), WINDOWS)
+
+
+class Filter:
+    """Bits of the benchmark's windows, two for each, and the widths of each kind."""
+
+    def __init__(self, windows: DataFrame):
+        self.widths = sorted((r["kind"], r["width"]) for r in windows.select("kind", "width").distinct().collect())  # under 50
+        self.shift = 64 - min(MOST_BITS.bit_length() - 1, max(16, (32 * windows.count()).bit_length()))
+        place = F.array(F.shiftrightunsigned("hash", self.shift), F.shiftrightunsigned(F.shiftleft("hash", 20), self.shift))
+        words = windows.select(F.explode(place).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
+        self.bits = np.zeros(1 << 58 - self.shift, np.uint64)
+        for r in words.toLocalIterator():  # a word for 64 bits
+            self.bits[r["word"]] = np.uint64(r["bits"] & 0xFFFFFFFFFFFFFFFF)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Where hashes may be the benchmark's."""
+        at = np.arange(len(h))
+        for left in (0, 20):
+            p = h[at] << np.uint64(left) >> np.uint64(self.shift)
+            at = at[self.bits[p >> np.uint64(6)] >> (p & np.uint64(63)) & np.uint64(1) == 1]
+        return at
 
 
 def groups(texts: list[str | None], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
@@ -249,47 +235,100 @@ def groups(texts: list[str | None], most: int = 2_000_000) -> Iterator[tuple[int
         yield a, len(texts)
 
 
-def chunks(benchmark: DataFrame, chunk: int = 200_000) -> Iterator[Benchmark]:
-    """The benchmark in pieces of about ``chunk`` windows (bounded by bytes: a word takes two at least)."""
-    items = only(benchmark, "item_id", "text").where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-int(total) // (2 * chunk)))
-    for part in range(n):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == part).collect()
-        yield Benchmark(sorted(((r["item_id"], r["text"]) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
-
-
-FOUND = "doc_id long, item_id long, n_windows int, n_item_windows int, n_slots int, n_slots_changed int"
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, chunk: int = 200_000) -> DataFrame:
+HITS = "doc_id long, doc long, kind int, hash long, codes binary, at int, found binary"
+
+
+def hits(docs: DataFrame, known: Filter) -> DataFrame:
+    """Windows of documents that the benchmark may hold: HITS."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            ids, keys, texts = (batch.column(c).to_pylist() for c in ("doc_id", "doc", "text"))
+            for a, b in groups(texts):
+                text, codes, _, names, _, values = words.look(texts[a:b])
+                starts = np.searchsorted(text, np.arange(b - a))
+                rows: list[tuple] = []
+                prepared = {PLAIN: (codes, Hashes(codes)), NAMED: (names, Hashes(names)), SAME: (values, Hashes(values))}
+                for kind, width in known.widths:
+                    own, hashes = prepared[kind]
+                    h = hashes.of(width)
+                    at = known.find(h)
+                    at = at[text[at] == text[at + width - 1]]
+                    where = text[at]
+                    rows += zip((where + a).tolist(), [kind] * len(at), h[at].view(np.int64).tolist(), [own[i : i + width].tobytes() for i in at.tolist()], (at - starts[where]).tolist(), [values[i : i + width].tobytes() if kind != SAME else b"" for i in at.tolist()], strict=True)
+                columns = [pa.array([ids[r[0]] for r in rows], pa.int64()), pa.array([keys[r[0]] for r in rows], pa.int64())]
+                columns += [pa.array([r[k] for r in rows], t) for k, t in ((1, pa.int32()), (2, pa.int64()), (3, pa.binary()), (4, pa.int32()), (5, pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "doc", "kind", "hash", "codes", "at", "found"])
+
+    return docs.mapInArrow(tidy(kernel), HITS)
+
+
+def held(rows: list[dict]) -> tuple[set[int], dict[int, bool], int]:
+    """Of one document and item: the windows that hold, slots and whether their value is another, and the most windows of one alignment."""
+    kept, changed, most, last = set(), {}, 0, None
+    for r in sorted(rows, key=lambda r: (r["at"] - r["place"], r["place"], r["kind"])):
+        j, n = r["place"], len(r["values"]) // 8
+        if last != r["at"] - j:
+            last, there, back, here = r["at"] - j, {}, {}, set()
+        if j in here:
+            continue
+        own, other = (np.frombuffer(r[c], np.uint64).tolist() for c in ("values", "found"))
+        spots = [x for x in range(n) if r["marks"] >> x & 1]
+        slots = [x for x in spots if r["slots"] >> x & 1]
+        if n - len(spots) < min(LITERALS, n) and any(own[x] != other[x] for x in spots if x not in slots):
+            continue
+        trial, kcab = dict(there), dict(back)
+        if all(trial.setdefault(own[x], other[x]) == other[x] and kcab.setdefault(other[x], own[x]) == own[x] for x in spots):
+            there, back = trial, kcab
+            here.add(j)
+            kept.add(j)
+            most = max(most, len(here))
+            changed |= {j + x: own[x] != other[x] for x in spots if x in slots or own[x] != other[x]}
+    return kept, changed, most
+
+
+FOUND = "doc_id long, doc long, item_id long, n_windows int, n_item_windows int, n_slots int, n_slots_changed int"
+
+
+def matched(docs: DataFrame, benchmark: DataFrame, least: int, share: float, exact: int) -> DataFrame:
+    """FOUND for each document (doc_id and the hash of its text) and item that it holds; ``docs`` has doc_id, text and doc."""
+    windows = cut(benchmark_windows(benchmark, exact), "windows")
+    met = hits(docs, Filter(windows)).join(windows, ["kind", "hash", "codes"])
+    met = met.withColumn("pair", F.xxhash64("doc_id", "doc", "item"))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, bounds in runs(batches, ["pair"]):
+            out = []
+            for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                rows = t.slice(x, y - x).to_pylist()
+                first, same = rows[0], any(r["kind"] == SAME for r in rows)
+                kept, changed, most = held([r for r in rows if r["kind"] != SAME])
+                total = first["total"]
+                if same or kept and (most >= min(least, total) or len(kept) >= max(min(least, total), share * total)):
+                    out.append((first["doc_id"], first["doc"], first["item_id"], len(kept), total, len(changed), sum(changed.values())))
+            kinds = [pa.int64()] * 3 + [pa.int32()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["doc_id", "doc", "item_id", "n_windows", "n_item_windows", "n_slots", "n_slots_changed"])
+
+    return met.repartition("pair").sortWithinPartitions("pair").mapInArrow(tidy(kernel), FOUND)
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 6, share: float = 0.25, exact: int = 13) -> DataFrame:
     """One row for each document and benchmark item that it holds."""
-    read, out = only(docs, "doc_id", "text"), None
-    for part in chunks(benchmark, chunk):
+    read = only(docs, "doc_id", "text").withColumn("doc", text_key(F.col("text")))
+    return matched(read, benchmark, least, share, exact).drop("doc")
 
-        def kernel(batches: Iterator[pa.RecordBatch], part: Benchmark = part) -> Iterator[pa.RecordBatch]:
-            words = Words()
-            for batch in batches:
-                texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-                rows = [(ids[a + t], *rest) for a, b in groups(texts) for t, *rest in part.match(words, texts[a:b])]
-                kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["doc_id", "item_id", "n_windows", "n_item_windows", "n_slots", "n_slots_changed"])
 
-        found = read.mapInArrow(tidy(kernel), FOUND)
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def without_leaks(docs: DataFrame, benchmark: DataFrame, chunk: int = 200_000) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, least: int = 6, share: float = 0.25, exact: int = 13) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns."""
-    for part in chunks(benchmark, chunk):
-
-        def kernel(batches: Iterator[pa.RecordBatch], part: Benchmark = part) -> Iterator[pa.RecordBatch]:
-            words = Words()
-            for batch in batches:
-                texts = batch.column("text").to_pylist()
-                bad = {a + t for a, b in groups(texts) for t, *_ in part.match(words, texts[a:b])}
-                yield batch.take(pa.array([i for i in range(len(texts)) if i not in bad], pa.int64()))
-
-        docs = docs.mapInArrow(tidy(kernel), docs.schema)
-    return docs
+    read = only(docs, "doc_id", "text").withColumn("doc", text_key(F.col("text")))
+    bad = cut(matched(read, benchmark, least, share, exact).select(F.col("doc_id").alias("bad_id"), F.col("doc").alias("bad")).distinct(), "leaks")
+    if bad.count() <= FEW:  # 24 bytes each
+        bad = F.broadcast(bad)
+    held_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    left = held_.join(bad, (F.col("key") == F.col("bad")) & F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    return left.select(*[F.col("doc")[c].alias(c) for c in docs.columns])

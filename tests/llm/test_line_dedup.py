@@ -70,10 +70,10 @@ def test_finer_keys_meet_all_links(spark, pieces, threshold):
     rng = random.Random(pieces)
     stem = "".join(rng.choice("abcd") for _ in range(30))
     lines = sorted({edited(rng, stem).encode() for _ in range(60)} | {rng.randbytes(3) for _ in range(8)})
-    rows = spark.createDataFrame([(k, 0, bytearray(x)) for k, x in enumerate(lines)], "h1 long, h2 long, content binary")
+    rows = spark.createDataFrame([(k, 0, bytearray(x)) for k, x in enumerate(lines)], "h1 long, h2 long, content binary").withColumn("odd", line_dedup.odd(F.col("content").cast("string")))
     keys = line_dedup.hole_keys(rows, pieces, threshold)
     assert max(r["count"] for r in keys.groupBy("h1").count().collect()) <= line_dedup.n_keys(pieces, threshold)
-    met = {tuple(sorted((r["a1"], r["b1"]))) for r in line_dedup.paired(line_dedup.meetings(keys, None)).collect()}
+    met = {tuple(sorted((r["a1"], r["b1"]))) for r in line_dedup.paired(line_dedup.meetings(keys, rows, None), threshold).collect()}
     near = {(i, j) for j in range(len(lines)) for i in range(j) if distance(lines[i], lines[j]) <= threshold}
     assert met >= near
 

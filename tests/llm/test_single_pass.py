@@ -129,15 +129,110 @@ def test_leaks(spark):
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5, 6]
     few = template_decontamination.leaks(spark.createDataFrame([(1, mixed)], "doc_id long, text string"), bench).collect()
     assert not few or few[0]["n_windows"] < few[0]["n_item_windows"]
-    small = template_decontamination.leaks(df, bench, chunk=5)
-    assert {r["doc_id"] for r in small.collect()} == set(got)
     assert template_decontamination.leaks(df.limit(0), bench).count() == 0
     assert template_decontamination.without_leaks(df, bench.limit(0)).count() == len(docs)
 
 
+def template(text):
+    """(template word, with names everywhere, slot?, with names?, value) of each word, by the rules of the docstring."""
+    out, begins = [], True
+    for word in (text or "").split():
+        core = word.strip(template_decontamination.EDGES)
+        lower = core.lower()
+        glued = template_decontamination.GLUED.fullmatch(core)
+        kind = "<number>" if lower in template_decontamination.NUMERALS or template_decontamination.NUMBER.fullmatch(core) else "<unit>" if lower in template_decontamination.UNITS else "<number><unit>" if glued and glued[2].lower() in template_decontamination.UNITS else None
+        named = not kind and core[:1].isupper() and not (len(core) > 1 and core.isupper())
+        if core:
+            inner = kind or ("<name>" if named else lower)
+            out.append((kind or lower if begins else inner, inner, bool(kind) or named and not begins, bool(kind) or named, lower))
+        begins = word.rstrip("\"')]}”’»")[-1:] in (".", "!", "?", ":")
+    return out
+
+
+def brute_leaks(docs, items, least=6, share=0.25, exact=13):
+    out = set()
+    for item_id, item in items:
+        t = template(item)
+        w, e = min(8, len(t)), min(exact, len(t))
+        good = [j for j in range(len(t) - w + 1) if w and sum(not x[2] for x in t[j : j + w]) >= min(3, w)]
+        places = [{}, {}]
+        for j in good:
+            for named in (0, 1):
+                places[named].setdefault(tuple(x[named] for x in t[j : j + w]), j)
+        total = len(places[0])
+        for doc_id, text in docs:
+            d = template(text)
+            same = bool(e) and any([x[4] for x in d[i : i + e]] == [x[4] for x in t[j : j + e]] for i in range(len(d) - e + 1) for j in range(len(t) - e + 1))
+            pairs = []
+            for i in range(len(d) - w + 1):
+                for named in (0, 1) if w >= 3 else (0,):
+                    j = places[named].get(tuple(x[named] for x in d[i : i + w])) if w else None
+                    if j is not None:
+                        pairs.append((i - j, j, named))
+            held, most = set(), 0
+            for diagonal in {p[0] for p in pairs}:
+                there, here = {}, set()
+                for _, j, named in sorted(p for p in pairs if p[0] == diagonal):
+                    spots = [x for x in range(w) if t[j + x][2 + named]]
+                    own, other = [t[j + x][4] for x in spots], [d[diagonal + j + x][4] for x in spots]
+                    if j in here or w - len(spots) < min(3, w) and any(a != b and not t[j + x][2] for x, a, b in zip(spots, own, other, strict=True)):
+                        continue
+                    more = {**there}
+                    if all(more.setdefault(a, b) == b for a, b in zip(own, other, strict=True)) and len(set(more.values())) == len(more):
+                        there = more
+                        here.add(j)
+                held |= here
+                most = max(most, len(here))
+            if same or held and (most >= min(least, total) or len(held) >= max(min(least, total), share * total)):
+                out.add((doc_id, item_id, len(held), total))
+    return out
+
+
+def test_leaks_against_brute_force(spark):
+    rng = random.Random(21)
+    names, nouns = ["Ann", "Bob", "Paris", "Rome", "Li"], ["cat", "dog", "tree", "train", "shop", "river", "cake", "road"]
+    word = lambda: rng.choice([rng.choice(names), rng.choice(nouns), rng.choice(nouns), str(rng.randint(1, 9)), "km", "the", "of", "Every"])
+    text = lambda n: " ".join(word() + rng.choice(["", "", "", ".", ",", "?"]) for _ in range(n))
+    items = [(k, text(rng.choice([2, 5, 9, 15, 30, 60]))) for k in range(25)] + [(50, "12 + 7 = ?"), (51, "Compute 12 * 17"), (52, "Convert 5 km to miles"), (53, ("the train of Ann runs to the river " * 6))]
+
+    def other(t):
+        new = {n: rng.choice(names) for n in names} if rng.random() < 0.5 else {}
+        return " ".join(new.get(x, str(rng.randint(1, 9)) if x.isdigit() and rng.random() < 0.5 else x) for x in t.split())
+
+    docs = []
+    for d in range(120):
+        part = rng.choice(items)[1]
+        words = part.split()
+        cut = " ".join(words[rng.randint(0, len(words) // 2) :])
+        docs.append((d, " ".join([text(rng.randint(0, 20)), rng.choice([part, other(part), cut, other(cut), cut.lower(), ""]), text(rng.randint(0, 20))])))
+    docs += [(200, items[28][1] * 3), (201, None), (202, ""), (None, items[3][1])] + [(210 + k, items[25 + k][1]) for k in range(3)]
+    got = template_decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    expected = brute_leaks(docs, items)
+    assert {(r["doc_id"], r["item_id"], r["n_windows"], r["n_item_windows"]) for r in got} == expected and len(got) == len(expected) > 60
+    assert {(210, 50), (211, 51), (212, 52)} <= {x[:2] for x in expected}
+
+
+def test_repeated_windows_cost_rows_not_pairs(spark):
+    sentence = "The train of Ann runs along the river to the old town every day. "
+    docs, items = spark.createDataFrame([(1, sentence * 4000), (1, sentence * 4000)], "doc_id long, text string"), spark.createDataFrame([(1, sentence * 4000)] * 2, "item_id long, text string")
+    windows = template_decontamination.benchmark_windows(items, 13)
+    assert windows.count() < 60
+    assert [(r["doc_id"], r["item_id"]) for r in template_decontamination.leaks(docs, items).collect()] == [(1, 1)]
+
+
 def leaking(item, *texts):
-    words = template_decontamination.Words()
-    return [bool(template_decontamination.Benchmark([(1, item)]).match(words, [t])) for t in texts]
+    found = set()
+    rows = [(r["kind"], r["hash"], r["codes"], r) for r in (dict(zip(("kind", "width", "hash", "codes", "place", "slots", "marks", "values", "total"), w, strict=True)) for w in template_decontamination.item_windows(item, 13))]
+    for n, text in enumerate(texts):
+        _, codes, _, names, _, values = template_decontamination.Words().look([text])
+        met = []
+        for kind, _, key, r in rows:
+            own = (codes, names, values)[kind]
+            met += [{**r, "at": i, "found": values[i : i + r["width"]].tobytes()} for i in range(len(own) - r["width"] + 1) if own[i : i + r["width"]].tobytes() == key]
+        kept, _, most = template_decontamination.held([r for r in met if r["kind"] != 2])
+        if any(r["kind"] == 2 for r in met) or kept and most >= min(6, rows[0][3]["total"]):
+            found.add(n)
+    return [n in found for n in range(len(texts))]
 
 
 def test_leaks_of_long_items():
@@ -163,8 +258,6 @@ def test_slots_of_each_alignment():
     first = ITEM.replace("40", "36").replace("15", "12").replace("100", "84").replace("Paris", "Rome")
     part = " ".join(ITEM.replace("40", "12").replace("Paris", "Oslo").split()[:10])
     assert leaking(ITEM, f"{part} and then nothing else. {first}") == [True]
-    found = template_decontamination.Benchmark([(1, ITEM)]).match(template_decontamination.Words(), [f"{part} and then nothing else. {first}"])
-    assert found[0][2] == found[0][3]
 
 
 # -- packing
