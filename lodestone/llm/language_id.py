@@ -6,9 +6,10 @@ holds.  The kernel is approximated on Nystroem landmarks and one-versus-rest
 kernel ridge regression gives each language one weight per landmark, so that a
 batch of texts is scored by two matrix products.
 
-Learning takes at most ``per_language`` texts of each of the ``max_languages``
-commonest languages, chosen by a hash of doc_id: a bounded sample.  Prediction
-sees the whole text and nothing else.
+Learning takes at most ``per_language`` texts of each language, fewer where
+``max_rows`` in all would be passed (but one of each at least), chosen by a hash
+of doc_id: a bounded sample of every language there is.  Prediction sees the
+whole text, however long, and nothing else, so other columns may have any name.
 
 Null texts and texts without a letter are ``und`` with score 0.  A row without
 doc_id is predicted, counts as not held out, and is never learnt from.  Without
@@ -60,6 +61,7 @@ def kernel_to(x: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
 def fit(x: np.ndarray, y: list[str], n_landmarks: int, ridge: float) -> dict:
     """Landmarks (every language alike), and weights of each language on them."""
     names = sorted(set(y))
+    n_landmarks = max(n_landmarks, 2 * len(names))
     codes = np.array([names.index(v) for v in y])
     chosen = np.lexsort((np.arange(len(y)), _turn(codes)))[:n_landmarks]
     landmarks = x[chosen].astype(np.float32)
@@ -88,16 +90,16 @@ def held_out(parts: int, part: int):
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts)) == part, F.lit(False))
 
 
-def learn(docs: DataFrame, per_language: int = 500, max_languages: int = 128, n_landmarks: int = 160, ridge: float = 0.1, parts: int = 4, part: int = 2) -> dict | None:
+def learn(docs: DataFrame, per_language: int = 500, max_rows: int = 64_000, n_landmarks: int = 160, ridge: float = 0.1, parts: int = 4, part: int = 2) -> dict | None:
     """The model, learnt on the bounded sample of rows that aren't held out."""
     known = only(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(parts, part))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
-    if not counts:
+    n = known.agg(F.count_distinct("lang")).first()[0]
+    if not n:
         return None
-    rates = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, 1.5 * per_language / n + 30 / n))])
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
-    sample = known.where(draw < F.element_at(rates, F.col("lang"))).withColumn("rank", first).where(F.col("rank") <= per_language).select("doc_id", "lang", "text")
+    each = max(1, min(per_language, max_rows // n))
+    # tasks send on no more than ``each`` rows of a language
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")))
+    sample = known.withColumn("rank", first).where(F.col("rank") <= each).select("doc_id", "lang", "text")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,8 +8,10 @@ statistics columns.
 Statistics cover the whole text.  Learning takes at most ``max_rows`` labelled
 rows, chosen by a hash of doc_id.  A document labelled more than once counts by
 its majority, a tie as good.  Null texts score like empty ones; a row without
-doc_id is scored, counts as not held out, and is never learnt from.  With no
-labels at all every score is 0.5, so nothing is rejected.
+doc_id is scored, counts as not held out, and is never learnt from; of texts
+with one doc_id the one with the smallest statistics is learnt from.  With no
+labels at all every score is 0.5, so nothing is rejected.  Other columns may
+have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -50,9 +52,17 @@ def statistics(text: str | None) -> tuple[float, ...]:
     )
 
 
+def stem(df: DataFrame) -> str:
+    """What the names of statistics start with, unlike those of all columns of ``df``."""
+    out = "__stat_"
+    while any(c.lower().startswith(out) for c in df.columns):
+        out = "_" + out
+    return out
+
+
 def with_statistics(df: DataFrame) -> DataFrame:
     """``df`` with one double column for each statistic of its ``text``, behind all it has; one narrow pass."""
-    names = [f"__stat_{s}" for s in STATISTICS]
+    names = [stem(df) + s for s in STATISTICS]
     schema = StructType([*df.schema.fields, *[StructField(n, DoubleType()) for n in names]])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +143,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 25, depth: int = 3, shrink: f
     return {"bias": float(b - (w * mean / scale).sum()), "rules": kept}
 
 
-def compile_score(model: dict | None) -> Column:
+def compile_score(model: dict | None, start: str = "__stat_") -> Column:
     """The score as one Spark expression over the statistics columns."""
     if model is None:
         return F.lit(0.5)
@@ -141,7 +151,7 @@ def compile_score(model: dict | None) -> Column:
     for rule, weight in model["rules"]:
         test = F.lit(True)
         for f, above, cut_at in rule:
-            c = F.col(f"__stat_{STATISTICS[f]}")
+            c = F.col(start + STATISTICS[f])
             test = test & ((c > cut_at) if above else (c <= cut_at))
         odds = odds + F.when(test, F.lit(weight)).otherwise(F.lit(0.0))
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
@@ -153,7 +163,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, parts: int
     voted = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
     sample = voted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # at most ``max_rows`` rows of 16 bytes: safe to send to every task
     texts = only(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = sorted(tuple(r) for r in with_statistics(texts).drop("text").dropDuplicates(["doc_id"]).collect())
+    values = F.min(F.struct("y", *[f"__stat_{s}" for s in STATISTICS])).alias("values")
+    rows = sorted((r["doc_id"], *r["values"]) for r in with_statistics(texts).groupBy("doc_id").agg(values).collect())
     if not rows:
         return None
     table = np.array(rows, dtype=np.float64)
@@ -171,4 +182,4 @@ def score(docs: DataFrame, model: dict | None, parts: int = 3, part: int = 1) ->
 
 def keep_good(docs: DataFrame, model: dict | None) -> DataFrame:
     """The rows of ``docs`` whose score is at least one half, with all their columns."""
-    return with_statistics(docs).where(compile_score(model) >= 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return with_statistics(docs).where(compile_score(model, stem(docs)) >= 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])

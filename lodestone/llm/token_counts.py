@@ -11,12 +11,20 @@ No piece reaches over the start of a word (a piece holds the word mark only in
 front, or consists of marks alone), so a text falls into words that are solved
 alone and remembered; the memory is bounded and only saves time.
 
-Null text has no tokens, as has the empty text.  Scores are whole numbers, so
-sums are exact at any length.
+Vocabularies are sentencepiece files.  A unigram file's scores are used as they
+are, in whole hundredths; a file of another kind has no probabilities but the
+order in which its pieces were made, and each gets the logarithm of one by
+Zipf's law, ``-100 log(rank + 2)`` rounded.  Scores are whole numbers, so sums are
+exact at any length, and counts are those of a unigram encoder with these scores.
+
+Null text has no tokens, as has the empty text.  Very long texts and words are
+solved whole.  Only doc_id and text are read, so other columns may have any
+name; repeated rows each give a row, an empty table none.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,13 +39,48 @@ WORDS = re.compile(f"{MARK}+[^{MARK}]*")
 SCHEMA = "doc_id long, n_tokens long, n_byte_tokens long, n_chars long, best_score long"
 
 
+def fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Number and value of each field of a protocol buffer: a whole number, or bytes."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        out, shift = 0, 0
+        while True:
+            byte = raw[at]
+            at += 1
+            out |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return out
+
+    while at < len(raw):
+        key = number()
+        if key & 7 == 0:
+            yield key >> 3, number()
+        else:
+            n = {1: 8, 5: 4}.get(key & 7) or number()
+            yield key >> 3, raw[at : at + n]
+            at += n
+
+
+def is_unigram(raw: bytes) -> bool:
+    """Whether a model's trainer settings (field 2) name the kind (field 3) unigram, 1, which is the default too."""
+    return dict(fields(next((v for k, v in fields(raw) if k == 2), b""))).get(3, 1) == 1
+
+
 def read_vocabulary(path: str) -> dict[str, int]:
     """Pieces and whole-number scores of a sentencepiece file, without control, unknown and byte pieces."""
     import sentencepiece
 
+    with open(path, "rb") as file:
+        unigram = is_unigram(file.read())
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     plain = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-    return {model.id_to_piece(i): int(model.get_score(i)) for i in plain}
+    found = {p: round(100 * model.get_score(i)) if unigram else -round(100 * math.log(k + 2)) for k, i in enumerate(plain) if (p := model.id_to_piece(i))}
+    if odd := next((p for p in found if MARK in p.lstrip(MARK)), None):
+        raise ValueError(f"piece {odd!r} has a word mark inside, so words can't be solved alone")
+    return found
 
 
 class Solver(dict):
@@ -91,7 +134,7 @@ class Solver(dict):
         """Pieces, those of them that are bytes, and the best score."""
         if not text:
             return 0, 0, 0
-        if "  " in text or MARK in text:
+        if "  " in text or MARK in text or text[0] == " ":
             words = WORDS.findall(MARK + text.replace(" ", MARK))
         else:
             words = (MARK + text.replace(" ", " " + MARK)).split(" ")

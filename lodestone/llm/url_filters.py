@@ -16,7 +16,8 @@ A template's counts are summed before they are dealt, so a host with any share
 of the urls costs a row per task; the look-up of templates is an equi-join that
 Spark may split.  Statistics cover all rows.
 
-Null urls and those without ``://`` have an empty host and path, fit no rule and
+Urls of any length are read whole.  Only page_id and url are read, so other
+columns may have any name.  Null urls and those without ``://`` have an empty host and path, fit no rule and
 share the empty template.  Repeated rows count each.  An empty table has no rows.
 """
 
@@ -61,11 +62,14 @@ def located(pages: DataFrame, rules: tuple[tuple[str, str], ...]) -> DataFrame:
 
 
 def grown(shapes: DataFrame, support: int, depth: int) -> DataFrame:
-    """``shapes`` with ``template``, an array: segments that few share turned into wildcards, from the host down."""
+    """``shapes`` with ``template``, an array: segments that few share turned into wildcards, from the host down.
+
+    A segment is held behind its slash, so it is never taken for a wildcard ``*`` or for the end ``$``.
+    """
     shapes = shapes.withColumn("template", F.array().cast("array<string>"))
     node = ["host", "template", "segment"]
     for k in range(depth):
-        shapes = shapes.withColumn("segment", F.coalesce(F.get("segments", F.lit(k)), F.lit("$")))
+        shapes = shapes.withColumn("segment", F.coalesce(F.concat(F.lit("/"), F.get("segments", F.lit(k))), F.lit("$")))
         common = shapes.groupBy(*node).agg(F.sum("n").alias("shared")).where(F.col("shared") >= support).select(*node, F.lit(True).alias("common"))
         kept = F.when(F.col("common") | (F.col("segment") == "$"), F.col("segment")).otherwise(F.lit("*"))
         shapes = cut(shapes.join(common, node, "left").withColumn("template", F.concat("template", F.array(kept))).drop("segment", "common"), "grown")
@@ -104,7 +108,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, support:
     purity = F.round((F.col("blocked") + weight * share) / (F.col("labelled") + weight), 9)
     scored = sums.select("host", "template", purity.alias("purity"))
     found = placed.select(*place, "template").join(scored, ["host", "template"])
-    told = F.concat("host", F.array_join(F.transform(F.filter("template", lambda x: x != "$"), lambda x: F.concat(F.lit("/"), x)), ""))
+    told = F.concat("host", F.array_join(F.transform(F.filter("template", lambda x: x != "$"), lambda x: F.when(x == "*", F.lit("/*")).otherwise(x)), ""))
     out = urls.join(found.select(*place, told.alias("template"), "purity"), place, "left")
     verdict = F.when(F.col("ruled").isNotNull(), F.when(F.col("ruled") == 1, F.lit("block")).otherwise(F.lit("allow"))).when(F.col("purity") >= reject, F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
@@ -124,7 +128,7 @@ with recursive u as (
   select *, case when rule in ('com/', 'www.example.com/en/') then 0 when rule is not null then 1 end as ruled,
     string_split(regexp_replace(regexp_replace(path, '^/', ''), '[0-9]+', '#', 'g'), '/') as shape from r
 ), b as (
-  select page_id, host, path, rule, ruled, coalesce(shape[1], '$') as s1, coalesce(shape[2], '$') as s2, coalesce(shape[3], '$') as s3, case when len(shape) > 3 then '**' else '$' end as s4 from p
+  select page_id, host, path, rule, ruled, coalesce('/' || shape[1], '$') as s1, coalesce('/' || shape[2], '$') as s2, coalesce('/' || shape[3], '$') as s3, case when len(shape) > 3 then '**' else '$' end as s4 from p
 ), g1 as (select *, case when s1 = '$' or count(*) over (partition by host, s1) >= 8 then s1 else '*' end as t1 from b
 ), g2 as (select *, case when s2 = '$' or count(*) over (partition by host, t1, s2) >= 8 then s2 else '*' end as t2 from g1
 ), g3 as (select *, case when s3 = '$' or count(*) over (partition by host, t1, t2, s3) >= 8 then s3 else '*' end as t3 from g2
@@ -148,6 +152,6 @@ with recursive u as (
   from m1 window c as (partition by host, t1, t2, t3, s4)
 )
 select page_id, host, path, rule, case when ruled = 1 then 'block' when ruled = 0 then 'allow' when purity >= 0.8 then 'block' else 'allow' end as verdict,
-  concat(host, if(t1 = '$', '', '/' || t1), if(t2 = '$', '', '/' || t2), if(t3 = '$', '', '/' || t3), if(s4 = '$', '', '/' || s4)) as template, purity
+  concat(host, if(t1 = '$', '', if(t1 = '*', '/*', t1)), if(t2 = '$', '', if(t2 = '*', '/*', t2)), if(t3 = '$', '', if(t3 = '*', '/*', t3)), if(s4 = '$', '', '/' || s4)) as template, purity
 from f
 """

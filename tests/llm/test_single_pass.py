@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -56,6 +57,54 @@ def test_counts_against_a_plain_viterbi():
             assert solver.count(text) == naive(vocabulary, text), (vocabulary, text)
 
 
+def varint(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def field(number, value):
+    return varint(number << 3) + varint(value) if isinstance(value, int) else varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def unigram_model(raw, scores):
+    """A model like ``raw`` whose kind is unigram and whose plain pieces have these scores; nothing is trained."""
+    out = b""
+    for number, value in token_counts.fields(raw):
+        if number == 1:
+            piece = dict(token_counts.fields(value))
+            text = piece[1].decode()
+            if piece.get(3, 1) == 1:
+                value = field(1, piece[1]) + b"\x15" + struct.pack("<f", scores[text]) + field(3, 1)
+        elif number == 2:
+            value = b"".join(b"\x18\x01" if k == 3 else field(k, v) if isinstance(v, int) or len(v) != 4 else b"" for k, v in token_counts.fields(value))
+        out += field(number, value)
+    return out
+
+
+def test_counts_are_those_of_a_unigram_encoder(spark, tmp_path):
+    import sentencepiece
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    with open(path, "rb") as file:
+        raw = file.read()
+    scores = token_counts.read_vocabulary(path)
+    assert not token_counts.is_unigram(raw) and len(set(scores.values())) < len(scores) / 20  # so many ties
+    model = unigram_model(raw, scores)
+    encoder, solver = sentencepiece.SentencePieceProcessor(model_proto=model), token_counts.Solver(scores)
+    assert token_counts.is_unigram(model) and encoder.get_piece_size() > 31_000
+    texts = [r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect() if r["text"] and len(r["text"]) < 20_000]
+    rng = random.Random(9)
+    texts += ["".join(rng.choice("aeinrst eE.,é☃\U0001f600\u0301\t\n 汉0123") for _ in range(rng.randint(1, 200))) for _ in range(300)]
+    texts += ["  two  spaces ", "x" * 500, "ab" * 300, "☃☃", " ", "a"]
+    for text in texts:
+        ids = encoder.encode(text)
+        assert solver.count(text)[:2] == (len(ids), sum(map(encoder.is_byte, ids))), text[:80]
+    (tmp_path / "unigram.model").write_bytes(unigram_model(raw, {p: v / 100 for p, v in scores.items()}))
+    assert token_counts.read_vocabulary(str(tmp_path / "unigram.model")) == scores
+
+
 def test_counts_of_odd_rows(spark):
     rows = token_counts.count_tokens(odd(spark)).collect()
     got = {r["doc_id"]: r["n_tokens"] for r in rows}
@@ -408,6 +457,34 @@ def test_languages_held_out(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.95 * len(rows)
 
 
+def test_kernel_is_the_share_of_common_grams():
+    import numpy as np
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcé ") for _ in range(rng.randint(1, 40))).encode() for _ in range(12)]
+
+    def grams(t):
+        t = t.lower()
+        return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+    x = language_id.presence(texts)
+    got = language_id.kernel_to(x, x.astype(np.float32))
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            s, t = grams(a), grams(b)
+            assert got[i, j] == pytest.approx(len(s & t) / (len(s) * len(t)) ** 0.5, abs=0.05)  # but for hashes that meet
+    long = b"some words " * 200_000  # longer than what is looked at in one go
+    assert (language_id.presence([long]) == language_id.presence([b"some words " * 3])).all()
+
+
+def test_all_languages_are_learnt(spark):
+    rows = [(3 * k + j, f"{chr(0x4E00 + k)}{chr(0x4E00 + k)} text {j}", f"lang{k}") for k in range(150) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(docs, max_rows=100)
+    known = {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2}
+    assert set(model["names"]) == known and len(known) > 128
+
+
 def test_languages_of_odd_rows(spark):
     docs = odd(spark).withColumn("lang", F.when(F.col("doc_id") == 1, "en"))
     model = language_id.learn(docs)
@@ -436,6 +513,17 @@ def test_quality_of_odd_rows(spark):
     assert kept.columns == docs.columns and kept.count() == len(ODD)
 
 
+def test_quality_of_clashing_names_and_repeated_ids(spark):
+    rows = [(d, text, 0.1) for d in range(60) for text in (["word " * 30, "$$ %% ^^ " * 9] if d % 2 else ["word " * 40])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __stat_upper double").withColumnRenamed("__stat_upper", "__STAT_upper")
+    labels = spark.createDataFrame([(d, 1 - d % 2) for d in range(60)], "doc_id long, quality int")
+    models = [quality_rules.learn(docs.repartition(n), labels) for n in (1, 3)]
+    assert models[0] == models[1]
+    kept = quality_rules.keep_good(docs, models[0])
+    assert kept.columns == docs.columns and {r["doc_id"] % 2 for r in kept.collect()} >= {0}
+    assert quality_rules.score(docs.limit(0), models[0]).count() == 0
+
+
 def test_compiled_rules_are_the_rules(spark):
     model = {"bias": 0.1, "rules": [(((0, True, 1.5), (1, False, 0.25)), 2.0), (((4, True, 0.0),), -1.0)]}
     rows = quality_rules.with_statistics(odd(spark)).withColumn("s", quality_rules.compile_score(model)).collect()
@@ -476,6 +564,14 @@ def test_impure_templates_are_rejected(spark):
     assert got[0] == ("block", "a.org/*/*/*") and got[41][0] == "allow"
 
 
+def test_segments_that_look_like_wildcards(spark):
+    rules = (("block", "a.org/a/$"), ("allow", "a.org/a"))
+    rows = ["http://a.org/a/$"] * 20 + ["http://a.org/a"] * 20 + ["http://a.org/*/b"] * 20 + [f"http://a.org/q{chr(97 + k)}/b" for k in range(5)]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = {r["page_id"]: (r["template"], r["purity"]) for r in url_filters.judge(df, rules).collect()}
+    assert got[0][1] > 0.8 and got[20][1] < 0.2 and got[40][1] == got[59][1]
+
+
 def test_templates_of_deep_paths(spark):
     rules = (("block", "a.org/x/y/z/bad/q"), ("allow", "a.org/x/y/z/good/q"))
     rows = [f"http://a.org/x/y/z/{k}/q/{p}/e" for k in ("bad", "good") for p in "rs" for _ in range(20)]
