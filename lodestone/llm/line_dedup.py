@@ -55,8 +55,7 @@ def lines_of(docs: DataFrame, least: int) -> DataFrame:
 def classes_of(lines: DataFrame) -> DataFrame:
     """One row for each different line, as a table bucketed by its hashes: later joins move only what they add."""
     spark = lines.sparkSession
-    found = lines.groupBy(*ID).agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies"), F.any_value("line").alias("line"))
-    found = found.select(*ID, "first", "copies", F.col("line").cast("binary").alias("content"), odd(F.col("line")).alias("odd"))
+    found = lines.groupBy(*ID).agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("copies"), F.any_value("line").cast("binary").alias("content"))
     name = f"lodestone_lines_{uuid.uuid4().hex}"
     found.write.option("path", f"{shared_dir(spark)}/lodestone/{name}").bucketBy(min(50_000, partitions(spark)), *ID).saveAsTable(name)
     return spark.table(name)
@@ -148,7 +147,8 @@ def meetings(keys: DataFrame, classes: DataFrame, crowd: int | None) -> DataFram
     entries = F.sum(F.col("key").bitwiseAND(F.lit(1))).over(same)
     met = keys.withColumn("entries", entries).withColumn("rows", F.count("*").over(same)).where("entries > 0 and rows > 1")
     met = met.select(*ID, "key", (F.col("entries") > (crowd or 1 << 62)).alias("crowded"))
-    return cut(met.hint("shuffle_hash").join(classes.select(*ID, "odd"), list(ID)), "met")
+    met = met.hint("shuffle_hash").join(classes.select(*ID, "content"), list(ID))  # few are left
+    return cut(met.select(*ID, "key", "crowded", odd(F.col("content").cast("string")).alias("odd")), "met")
 
 
 def paired(met: DataFrame, threshold: int) -> DataFrame:
@@ -173,7 +173,7 @@ def candidates(classes: DataFrame, threshold: int, crowd: int) -> DataFrame:
         longest = crowded.join(classes, list(ID)).agg(F.max(F.length("content"))).first()[0]
         if longest is None:
             break
-        fine = crowded.hint("shuffle_hash").join(classes, list(ID)).select(*ID, "content", "odd")
+        fine = crowded.hint("shuffle_hash").join(classes, list(ID)).select(*ID, "content")
         last = pieces >= longest
         met = meetings(hole_keys(fine, pieces, threshold), fine, None if last else max(crowd, n_keys(4 * pieces, threshold) if crowd >= CROWD else crowd))
         found = found.unionByName(paired(met, threshold))
