@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import html
 import json
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestone.operators import generic as G
 
@@ -66,9 +68,11 @@ def outcomes(states: DataFrame) -> DataFrame:
 
 
 def seal(spark: SparkSession, store: str, tables: dict[str, DataFrame]) -> None:
-    """Writes the tables, dealt by analysis; an analysis is in the store once at most, and only whole.
+    """Writes the tables into a folder of this run, dealt by analysis; an analysis is in the store once at most, and only whole.
 
-    Its row in ``sealed`` comes last: what has none was broken off and is not read.
+    Its row in ``sealed`` comes last and names the run's folder: what a broken
+    run has left is in a folder that nothing names, so a repeated run never
+    meets it.
     """
     states = tables["states"]
     wrong = states.groupBy("analysis_id").agg(F.count("*").alias("n")).where(F.col("n") != len(AREAS))
@@ -78,9 +82,11 @@ def seal(spark: SparkSession, store: str, tables: dict[str, DataFrame]) -> None:
     done = sealed(spark, store)
     if done is not None and not ids.join(done, "analysis_id", "left_semi").isEmpty():
         raise ValueError("a sealed analysis is never written again")
+    run = uuid.uuid4().hex
     for name, df in tables.items():
-        df.write.mode("append").partitionBy("analysis_id").parquet(f"{store}/{name}")
-    ids.withColumn("sealed_at", F.current_timestamp()).write.mode("append").parquet(f"{store}/sealed")
+        df.write.partitionBy("analysis_id").parquet(f"{store}/runs/{run}/{name}")
+    schemas = F.create_map(*[F.lit(x) for name, df in tables.items() for x in (name, df.schema.json())])  # an empty table has no file to tell
+    ids.withColumn("sealed_at", F.current_timestamp()).withColumn("run", F.lit(run)).withColumn("schemas", schemas).write.mode("append").parquet(f"{store}/sealed")
 
 
 def sealed(spark: SparkSession, store: str) -> DataFrame | None:
@@ -91,9 +97,11 @@ def sealed(spark: SparkSession, store: str) -> DataFrame | None:
 def load(spark: SparkSession, store: str, table: str, analysis_id: str) -> DataFrame:
     """One table of one sealed analysis; only its folder is read."""
     done = sealed(spark, store)
-    if done is None or done.where(F.col("analysis_id") == analysis_id).isEmpty():
+    row = done and done.where(F.col("analysis_id") == analysis_id).select("run", "schemas").first()
+    if not row:
         raise KeyError(f"no sealed analysis {analysis_id}")
-    return spark.read.parquet(f"{store}/{table}").where(F.col("analysis_id") == analysis_id)
+    schema = StructType.fromJson(json.loads(row["schemas"][table]))
+    return spark.read.schema(schema).parquet(f"{store}/runs/{row['run']}/{table}").where(F.col("analysis_id") == analysis_id)
 
 
 def history(spark: SparkSession, store: str) -> DataFrame:
@@ -148,7 +156,8 @@ def hotspots(findings: DataFrame) -> DataFrame:
 
 def tree(findings: DataFrame) -> DataFrame:
     """Findings of every directory and file."""
-    return G.rolled_up(findings.select("analysis_id", "path", "severity"), "path", F.count("*").alias("n_findings"), F.count_if(F.col("severity").isin("Critical", "High")).alias("n_serious"))
+    rows = findings.select("analysis_id", "path", "severity", F.explode(G.prefixes(F.col("path"))).alias("directory"))
+    return rows.groupBy("analysis_id", "directory").agg(F.count("*").alias("n_findings"), F.count_if(F.col("severity").isin("Critical", "High")).alias("n_serious"))
 
 
 def document(findings: DataFrame, states: DataFrame) -> DataFrame:

@@ -172,7 +172,8 @@ def dependency_rules(deps: DataFrame, code: DataFrame, advisories: DataFrame) ->
     many = at(deps.where("version is not null").groupBy("analysis_id", eco, name).agg(F.array_sort(F.collect_set("version")).alias("versions"), place)).where("size(versions) > 1")
     count = at(deps.groupBy("analysis_id", eco).agg(F.count_distinct(name).alias("n"), place)).where(F.col("n") > THRESHOLDS["dependencies"])
     used = code.where("kind = 'import'").select("analysis_id", F.lower(F.split("name", "[.]", -1)[0]).alias("module")).distinct()
-    guess = F.array_distinct(F.array(F.regexp_replace(F.col(name), "-", "_"), F.regexp_replace(F.col(name), "-", ""), F.regexp_replace(F.regexp_replace(F.col(name), "^python-", ""), "-", "_"), F.regexp_replace(F.regexp_replace(F.col(name), "^py", ""), "-", "_")))
+    mapped = F.create_map(*[F.lit(x) for kv in MODULES_OF.items() for x in kv])[F.col(name)]
+    guess = F.array_distinct(F.array(F.coalesce(mapped, F.lit("")), F.regexp_replace(F.col(name), "-", "_"), F.regexp_replace(F.col(name), "-", ""), F.regexp_replace(F.regexp_replace(F.col(name), "^python-", ""), "-", "_"), F.regexp_replace(F.regexp_replace(F.col(name), "^py", ""), "-", "_")))
     direct = at(deps.where("ecosystem = 'PyPI' and dependency_class = 'direct'").groupBy("analysis_id", eco, name).agg(place))
     hit = direct.select("analysis_id", name, F.explode(guess).alias("module")).join(used, ["analysis_id", "module"]).select("analysis_id", name).distinct()
     unused = direct.join(used.select("analysis_id").distinct(), "analysis_id").join(hit, ["analysis_id", name], "left_anti")
@@ -208,6 +209,41 @@ SAFE_LOADS = ("json.loads", "json.load", "yaml.safe_load", "yaml.safe_load_all",
 DATABASE_WORDS = "cursor|conn|connection|db|database|session|engine|query"
 
 
+# Names that show a list of allowed hosts, and what tells that a resolved path is held inside a folder
+ALLOW_LISTS = ("allow_list", "allow-list", "allowlist", "allowed_hosts", "ALLOWED", "trusted_hosts")
+CONTAINMENTS = ("relative_to", "commonpath", "startswith")
+# Functions of the plain random generator
+RANDOM = ("random", "choice", "choices", "randint", "randrange", "uniform", "sample", "shuffle")
+# Words of a name that should not be drawn by it
+SENSITIVE = ("token", "secret", "passwd", "password", "pwd", "nonce", "salt", "otp", "credential", "private", "auth", "api_key", "api-key", "apikey", "session_id", "session_key", "session_token")
+# Paths and starts of function names that are public
+PUBLIC_PATHS = ("health", "healthy", "healthz", "ready", "live", "liveness", "readiness", "public", "about", "status", "ping", "version", "docs", "openapi.json", "redoc", "static", "favicon.ico", "robots.txt")
+PUBLIC_NAMES = ("health", "healthcheck", "healthy", "public", "public_page", "about", "status", "ping", "version", "docs", "openapi", "root", "index", "home", "landing")
+# Modules of distributions whose names differ
+MODULES_OF = {
+    "pyyaml": "yaml", "pillow": "pil", "beautifulsoup4": "bs4", "scikit-learn": "sklearn", "python-dateutil": "dateutil", "python-dotenv": "dotenv", "pymupdf": "fitz", "opencv-python": "cv2", "protobuf": "google", "grpcio": "grpc",
+    "psycopg2-binary": "psycopg2", "psycopg2": "psycopg2", "mysqlclient": "mysqldb", "pymysql": "pymysql", "sqlalchemy": "sqlalchemy", "djangorestframework": "rest_framework", "pytest-django": "pytest_django", "typing-extensions": "typing_extensions", "importlib-metadata": "importlib_metadata", "zope-interface": "zope",
+}
+
+
+def guards_of(code: DataFrame) -> DataFrame:
+    """What the tests, calls and assignments of a function show of checks: contained, listed, credentials."""
+    seen = F.concat_ws(" ", "name", F.coalesce(F.col("attrs")["value"], F.lit("")), F.coalesce(F.col("attrs")["target"], F.lit("")), F.array_join("items", " "))
+    has = lambda words: F.bool_or(F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains("seen", w)))
+    rows = code.where(F.col("kind").isin("test", "call", "assignment")).withColumn("seen", seen)
+    inside = has(CONTAINMENTS) | F.bool_or((F.col("kind") == "test") & F.col("seen").rlike(r"\bin\b.*base|base.*\bin\b"))
+    return rows.groupBy("analysis_id", "path", "scope").agg((F.bool_or((F.col("kind") == "call") & F.col("name").rlike(r"(^|[.])resolve$")) & inside).alias("contained"), has(ALLOW_LISTS).alias("listed"), has(["Access-Control-Allow-Credentials"]).alias("credentials"))
+
+
+def header_verdict(value: Column, origin: Column) -> Column:
+    """Of a value that answers for the allowed origin."""
+    return (
+        F.when(value.rlike(r"^['\"][*]['\"]$"), F.when(F.col("credentials"), "Medium/High").otherwise("Low/Medium"))
+        .when((origin == "external") | value.rlike(r"(?i)\brequest\b"), F.when(F.col("credentials"), "High/High").otherwise("Medium/Medium"))
+        .when(origin != "constant", "Info/Low")
+    )
+
+
 def sink(name: str) -> Column:
     """Whether a call (``name``, and ``imports`` of its file) is one that a rule looks at."""
     sure, guarded, hints = (x.split() for x in SINKS[name])
@@ -242,7 +278,9 @@ def by_origin(external: str | Column, unresolved: str, configurable: str, consta
 
 def security_rules(code: DataFrame) -> DataFrame:
     """The rules on calls and assignments; constants are silent unless a rule says otherwise."""
-    calls = calls_of(code)
+    own = ["analysis_id", "path", "scope"]
+    guards = guards_of(code)
+    calls = calls_of(code).join(guards, own, "left").na.fill(False, ["contained", "listed", "credentials"])
     kw = lambda k: F.col("kwargs")[k]
     last = F.element_at(F.split("name", "[.]", -1), -1)
     receiver = F.lower(F.regexp_replace("name", "[.]?[^.]*$", ""))
@@ -264,20 +302,28 @@ def security_rules(code: DataFrame) -> DataFrame:
     secretive = said.rlike(r"(?i)\b\w*(password|passwd|secret|token|api_?key|credential)\w*\b(?!\s*\()")
     hidden = said.rlike(r"(?i)(mask|redact|hash|len|bool)\w*\(")
     logs = F.when(hidden, None).when(F.col("name") == "print", F.when(secretive & (F.col("origin") != "constant"), "Low/Low")).when(secretive & F.col("origin").isin("external", "configurable"), "High/High").when(secretive & (F.col("origin") != "constant"), "Medium/Medium").when(said.rlike(r"\brequest\.(body|headers|form|json)\b"), "Medium/Medium")
+    header = "Access-Control-Allow-Origin"
+    header_at = F.size(F.filter("items", lambda i: F.contains(i, F.lit(header))))
     rules = [
         ("SEC-SQL-INJECTION", F.when(sql & F.col("dynamic"), by_origin("High/High", "High/Medium", "Medium/Low"))),
         ("SEC-COMMAND-INJECTION", F.when(sink("command") & ~(listed & ~shell), by_origin(F.when(shell, "Critical/High").otherwise("High/High"), "High/Medium", "Medium/Low", F.when(shell, "Info/Low")))),
-        ("SEC-PATH-TRAVERSAL", F.when(sink("path") & (last != "Path"), by_origin("High/High", "Medium/Medium", "Low/Low"))),
-        ("SEC-SSRF", F.when(sink("ssrf"), F.when(F.col("first").rlike(r"^f?['\"]https?://[^/{]+/") & (F.col("first_origin") != "constant"), "Medium/Medium").otherwise(by_origin("High/High", "Medium/Medium", "Info/Low")))),
+        ("SEC-PATH-TRAVERSAL", F.when(sink("path") & (last != "Path") & ~F.col("contained"), by_origin("High/High", "Medium/Medium", "Low/Low"))),
+        ("SEC-SSRF", F.when(sink("ssrf") & ~F.col("listed"), F.when(F.col("first").rlike(r"^f?['\"]https?://[^/{]+/") & (F.col("first_origin") != "constant"), "Medium/Medium").otherwise(by_origin("High/High", "Medium/Medium", "Info/Low")))),
         ("SEC-UNSAFE-DESERIALIZATION", F.when(loads, by_origin(harsh, "High/Medium", "Medium/Low"))),
         ("SEC-DANGEROUS-DYNAMIC-EXECUTION", F.when(sink("execution"), by_origin(F.when(run, "Critical/High").otherwise("High/High"), "High/Medium", "Medium/Low", F.when(run, "Info/Low")))),
         ("SEC-WEAK-CRYPTO", F.when(sink("hash") & weak, purpose).when(F.col("name").endswith("hashlib.new") & (F.col("first_kind") != "Constant"), "Info/Low").when(F.col("first").contains("MODE_ECB") | F.array_join("items", " ").contains("MODE_ECB") | F.col("name").rlike(r"\.(DES|DES3|ARC4|ARC2)\.new$"), "High/High")),
         ("SEC-DISABLED-TLS", F.when(sink("tls"), tls)),
-        ("SEC-INSECURE-CORS", F.when(sink("cors"), cors)),
+        ("SEC-INSECURE-CORS", F.when(sink("cors"), cors).when(header_at > 0, header_verdict(F.element_at("items", -1), F.col("origin")))),
         ("SEC-SENSITIVE-LOGGING", F.when(sink("logging"), logs)),
     ]
     parts = [graded(calls, rule, verdict) for rule, verdict in rules]
     off = code.where("kind = 'assignment'").where((F.col("name").endswith(".verify") & (F.col("attrs")["value"] == "False")) | (F.col("name").endswith(".check_hostname") & (F.col("attrs")["value"] == "False")) | (F.col("name").endswith(".verify_mode") & F.col("attrs")["value"].endswith("CERT_NONE")))
+    assigned = code.where("kind = 'assignment'").join(guards, own, "left")
+    value, origin = F.col("attrs")["value"], F.col("attrs")["origin"]
+    drawn = assigned.where(value.rlike(r"\brandom\s*\.\s*(" + "|".join(RANDOM) + r")\s*\(") & F.lower("name").rlike("|".join(SENSITIVE) + r"|\bkey\b"))
+    parts.append(finding(drawn, "SEC-WEAK-CRYPTO", "security", "Medium", "High", F.concat_ws(":", "scope", "name"), F.lit("random")))
+    answered = assigned.where(F.contains(F.col("attrs")["target"], F.lit(header))).withColumn("v", F.split(header_verdict(value, origin), "/", -1)).where("v is not null")
+    parts.append(finding(answered, "SEC-INSECURE-CORS", "security", F.col("v")[0], F.col("v")[1], F.concat_ws(":", "scope", F.lit(header)), origin))
     parts.append(finding(off, "SEC-DISABLED-TLS", "security", "Medium", "High", F.concat_ws(":", "scope", "name"), F.col("attrs")["value"]))
     return reduce(DataFrame.unionByName, parts)
 
@@ -291,7 +337,8 @@ def authorization(code: DataFrame) -> DataFrame:
     called = code.where("kind = 'call'").groupBy(*own, F.col("scope").alias("qualified")).agg(F.array_join(F.collect_set("name"), " ").alias("called"))
     routes = routes.join(called, [*own, "qualified"], "left").withColumn("checked", signs.rlike(r"(?i)auth|login_required|permission|current_user|require_|jwt|is_admin"))
     routes = routes.withColumn("sibling", F.max(F.col("checked").cast("int")).over(Window.partitionBy(*own)) == 1)
-    public = F.col("name").rlike("(?i)^(health|login|logout|signup|register|index|home|root|ping|status|docs)")
+    paths = F.from_json(F.col("attrs")["routes"], "array<string>")
+    public = F.col("name").rlike("(?i)^(" + "|".join(PUBLIC_NAMES) + ")") | F.coalesce(F.exists(paths, lambda p: p.rlike("(?i)^/(" + "|".join(w.replace(".", "[.]") for w in PUBLIC_PATHS) + ")?/?$")), F.lit(False))
     write, read = F.col("called").rlike(r"(?i)\.(add|save|delete|update|commit|insert|create|remove|put)\b"), F.col("called").rlike(r"(?i)\.(get|filter|filter_by|query|find|find_one|select|first|all)\b")
     open_ = routes.where(~F.col("checked") & ~public & (write | read)).withColumn("write", write)
     return finding(open_, "SEC-POTENTIAL-AUTHORIZATION", "security", F.when(F.col("sibling") | F.col("write"), "Medium").otherwise("Low"), F.when(F.col("sibling"), "Medium").otherwise("Low"), F.col("qualified"), F.lit("no check found"))

@@ -83,7 +83,7 @@ class Reader(ast.NodeVisitor):
         names = [x.arg for x in [*a.posonlyargs, *a.args, *([a.vararg] if a.vararg else []), *a.kwonlyargs, *([a.kwarg] if a.kwarg else [])]]
         owner = self.names[-1][1] if self.names and self.names[-1][0] == "class" else None
         counted = names[1:] if owner and names and names[0] in ("self", "cls") else names
-        self.add("function", name, node, names, owner=owner, parameters=len(counted), decorators=[dotted(d.func if isinstance(d, ast.Call) else d) for d in decorators])
+        self.add("function", name, node, names, owner=owner, parameters=len(counted), decorators=[dotted(d.func if isinstance(d, ast.Call) else d) for d in decorators], routes=[str(d.args[0].value) for d in decorators if isinstance(d, ast.Call) and d.args and isinstance(d.args[0], ast.Constant)])
         self._inside("function", name, body)
 
     def visit_FunctionDef(self, node) -> None:
@@ -134,7 +134,7 @@ class Reader(ast.NodeVisitor):
             if value is not None:
                 if isinstance(t, ast.Name):
                     self.known[-1].setdefault(t.id, []).append((node.lineno, value))
-                self.add("assignment", dotted(t), node, value=self.shown(value), origin=self.origin(value, node.lineno))
+                self.add("assignment", dotted(t), node, value=self.shown(value), origin=self.origin(value, node.lineno), target=self.shown(t))
         self.generic_visit(node)
 
     def visit_Assign(self, node: ast.Assign) -> None:
@@ -146,8 +146,12 @@ class Reader(ast.NodeVisitor):
     def visit_AugAssign(self, node: ast.AugAssign) -> None:
         self._assign(node, [node.target], node.value)
 
+    def visit_Compare(self, node: ast.Compare) -> None:
+        self.add("test", "", node, value=self.shown(node))
+        self.generic_visit(node)
+
     def shown(self, node: ast.AST) -> str:
-        return (ast.get_source_segment(self.text, node) or "")[:2000]
+        return ast.get_source_segment(self.text, node) or ""
 
     def origin(self, node: ast.AST, line: int, steps: int = 0) -> str:
         if isinstance(node, ast.Constant):

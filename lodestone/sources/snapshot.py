@@ -8,23 +8,25 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import extension, file_name, parent
 
 # Limits of an index
-MAX_FILE_BYTES, MAX_FILES, SNIFFED_BYTES = 1_048_576, 20_000, 8_192
+MAX_FILE_BYTES, SNIFFED_BYTES = 1_048_576, 8_192
 # What a suffix says about a file
 LANGUAGES = {".py": "Python", ".pyi": "Python", ".js": "JavaScript", ".jsx": "JavaScript", ".ts": "TypeScript", ".tsx": "TypeScript", ".java": "Java", ".go": "Go", ".rs": "Rust", ".c": "C", ".h": "C", ".cpp": "C++", ".cs": "C#", ".rb": "Ruby", ".php": "PHP", ".sh": "Shell", ".sql": "SQL", ".html": "HTML", ".css": "CSS", ".json": "JSON", ".toml": "TOML", ".yaml": "YAML", ".yml": "YAML", ".md": "Markdown", ".txt": "Text"}
 MANIFESTS = {"pyproject.toml": "pyproject", "poetry.lock": "poetry-lock", "pipfile.lock": "pipfile-lock", "package.json": "package", "package-lock.json": "package-lock"}
 
 
 def read_tree(spark: SparkSession, root: str, analysis_id: str) -> DataFrame:
-    """analysis_id, path (relative, POSIX), content and size of every file below ``root``."""
+    """analysis_id, path (relative, POSIX), content and size of every file below ``root``; of files beyond the limit nothing is read."""
     base = root.rstrip("/")
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     path = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + base.removeprefix("file://").replace(".", "[.]") + "/", "")
-    return read.select(F.lit(analysis_id).alias("analysis_id"), path.alias("path"), "content", F.col("length").alias("size"))
+    content = {True: F.col("content"), False: F.lit(None).cast("binary").alias("content")}
+    kept = [read.where(F.col("length") <= MAX_FILE_BYTES if small else F.col("length") > MAX_FILE_BYTES).select(F.lit(analysis_id).alias("analysis_id"), path.alias("path"), c, F.col("length").alias("size")) for small, c in content.items()]
+    return kept[0].unionByName(kept[1])
 
 
 def is_binary(content: Column) -> Column:
     """A zero byte among the first; an empty file is text."""
-    return F.locate("\u0000", F.decode(F.substring(content, 1, SNIFFED_BYTES), "ISO-8859-1")) > 0
+    return F.coalesce(F.locate("\u0000", F.decode(F.substring(content, 1, SNIFFED_BYTES), "ISO-8859-1")) > 0, F.lit(False))
 
 
 def manifest_kind(path: Column) -> Column:
