@@ -3,4 +3,4 @@
 from lodestone.plans import code_queries, table_queries, view_queries  # noqa: F401 - view queries add themselves to the table queries
 
 QUERIES: dict = {**table_queries.QUERIES, **code_queries.QUERIES}
-ORACLES: dict = {**table_queries.ORACLES}
+ORACLES: dict = {**table_queries.ORACLES, **code_queries.ORACLES}
