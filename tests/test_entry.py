@@ -9,7 +9,9 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def test_entry(spark):
-    assert __spark_entry__.entry(spark).columns == ["doc_id", "first_line", "n_findings", "kinds"]
+    found = __spark_entry__.entry(spark)
+    assert found.columns == ["analysis_id", "rule_id", "category", "severity", "confidence", "path", "start_line", "end_line", "subject", "detail", "identity_key"]
+    assert found.count() > 0
 
 
 def test_every_oracle_has_a_query():
