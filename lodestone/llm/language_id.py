@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import only, tidy, utf8
+from lodestone.llm.common import cut, only, tidy, utf8
 
 WIDTHS = (256, 4096, 8192)
 FEATURES = sum(WIDTHS)
+#: Languages whose counts are sent to every task at most.
+MANY = 100_000
 LETTER = re.compile(r"[^\W\d_]")
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -93,13 +95,16 @@ def held_out(parts: int, part: int):
 def learn(docs: DataFrame, per_language: int = 500, max_rows: int = 64_000, n_landmarks: int = 160, ridge: float = 0.1, parts: int = 4, part: int = 2) -> dict | None:
     """The model, learnt on the bounded sample of rows that aren't held out."""
     known = only(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(parts, part))
-    n = known.agg(F.count_distinct("lang")).first()[0]
+    counts = cut(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    n = counts.count()
     if not n:
         return None
     each = max(1, min(per_language, max_rows // n))
-    # tasks send on no more than ``each`` rows of a language
+    # a draw by hash first, so that no task is sent more than about what it keeps
+    rates = counts.select("lang", ((1.5 * each + 30) / F.col("n")).alias("rate"))
+    drawn = known.join(F.broadcast(rates) if n <= MANY else rates, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("rate") * (1 << 30))
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")))
-    sample = known.withColumn("rank", first).where(F.col("rank") <= each).select("doc_id", "lang", "text")
+    sample = drawn.withColumn("rank", first).where(F.col("rank") <= each).select("doc_id", "lang", "text")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
