@@ -173,13 +173,13 @@ def classify_direct_transitive(t) -> DataFrame:
 
 
 @query(
-    "with p as (select page_id, regexp_extract(url, '://([^?#]*)', 1) as path from pages), t as (select distinct regexp_extract(path, '^([^/]*/[^/]*)', 1) as target from p where page_id % 3 = 0 and contains(path, '/') union select distinct regexp_extract(path, '^([^/]*)', 1) from p where page_id % 2 = 0)"
+    "with p as (select page_id, regexp_extract(url, '://([^?#]*)', 1) as path from pages), t as (select distinct regexp_extract(path, '^([^/]*/[^/]*)', 1) as target from p where contains(path, '/') union select distinct regexp_extract(path, '^([^/]*)', 1) from p)"
     " select page_id, (select max_by(target, length(target)) from t where path = target or starts_with(path, target || '/')) as target from p"
 )
 def longest_prefix_join(t) -> DataFrame:
     pages = t("pages").select("page_id", F.regexp_extract("url", "://([^?#]*)", 1).alias("path"))
-    table = pages.where("page_id % 3 = 0 and contains(path, '/')").select(F.regexp_extract("path", "^([^/]*/[^/]*)", 1).alias("target"))
-    table = table.union(pages.where("page_id % 2 = 0").select(F.regexp_extract("path", "^([^/]*)", 1)))
+    table = pages.where("contains(path, '/')").select(F.regexp_extract("path", "^([^/]*/[^/]*)", 1).alias("target"))
+    table = table.union(pages.select(F.regexp_extract("path", "^([^/]*)", 1)))
     return G.longest_prefix(pages, "page_id", "path", table, "target").select("page_id", "target")
 
 
