@@ -19,7 +19,10 @@ windows with one such gram stay together as one short piece of text.  So
 
 What a block sends to a range is one row whatever its number of grams, and a
 run that a block holds often is sent once, so no gram or passage, however
-common, gathers more than a row per block.
+common, gathers more than a row per block.  A gram whose distinct runs would
+fill a quarter of a range (boilerplate beside ever other words) is crowded: its
+windows are dealt one by one, each to the range of its own hash, so that no
+range gathers them and equal ones meet as before.
 
 Null texts are empty.  Rows without doc_id are left out.  Repeated rows each
 give a row; equal doc_ids never remove each other's bytes.
@@ -29,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +46,8 @@ GRAM = 16
 STRETCH = 1 << 19
 #: Bytes of run texts that a range orders at once.
 SHARE = 2_000_000
+#: Runs of a gram in a block from which on their distinct texts are counted (below, they count as one).
+COUNTED = 4
 MESSAGE = "block int, kind int, ids binary, a binary, b binary, c binary, d binary"
 FIELDS = ["block", "kind", "ids", "a", "b", "c", "d"]
 TYPES = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
@@ -57,6 +63,11 @@ def load(data: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
     return view[at].astype(np.uint64)
 
 
+def digits(depth: int) -> list[int]:
+    """Places of the eight-byte digits that make up ``depth`` bytes; the last may overlap."""
+    return [*range(0, depth - 7, 8), *([depth - 8] if depth % 8 else [])]
+
+
 def smallest_grams(data: np.ndarray, n: int, depth: int) -> np.ndarray:
     """Of each of ``n`` windows the smallest hash of its grams."""
     wide, size = depth - GRAM + 1, 1
@@ -68,6 +79,24 @@ def smallest_grams(data: np.ndarray, n: int, depth: int) -> np.ndarray:
     return np.minimum(low[:n], low[wide - size : wide - size + n])
 
 
+def windows_hash(data: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """Hash of each window that starts at ``at``."""
+    out = np.full(len(at), depth, np.uint64)
+    for digit in digits(depth):
+        out = mix64(out + load(data, at + digit))
+    return out
+
+
+class Marked(NamedTuple):
+    """Runs of windows, their distinct texts in order, and the number of each one's text."""
+
+    start: np.ndarray
+    doc: np.ndarray
+    gram: np.ndarray
+    seen: list[bytes]
+    text: np.ndarray
+
+
 class Block:
     """The documents of a block and their runs of windows with one smallest gram."""
 
@@ -76,7 +105,8 @@ class Block:
         self.ids, self.texts = [ids[i] for i in order], [texts[i] for i in order]
         self.depth = depth
         self.lengths = np.array([len(x) for x in self.texts], dtype=np.int64)
-        self.data = np.frombuffer(b"".join(self.texts) + bytes(depth + 16), np.uint8)
+        self.raw = b"".join(self.texts) + bytes(depth + 16)
+        self.data = np.frombuffer(self.raw, np.uint8)
         ends = np.cumsum(self.lengths)
         self.begins = ends - self.lengths
         n = int(ends[-1]) - depth + 1 if len(ends) else 0
@@ -103,17 +133,29 @@ class Block:
         self.count = np.minimum(stop, ends[self.doc] - depth + 1) - self.start
         self.gram = mix64(low[self.start])  # a smallest hash is not even over its range
 
-    def marked(self, repeated: np.ndarray, ranges: int) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-        """Runs of repeated grams: which, their distinct texts in order, and each one's text."""
+    def distinct(self, which: np.ndarray) -> int:
+        """Distinct texts of runs."""
+        raw, tail = self.raw, self.depth - 1
+        return len({raw[a : a + c + tail] for a, c in zip(self.start[which].tolist(), self.count[which].tolist(), strict=True)})
+
+    def marked(self, repeated: np.ndarray, crowded: np.ndarray, ranges: int) -> Marked:
+        """Runs of repeated grams, those of crowded ones as single windows."""
+        none = np.zeros(0, np.int64)
         if not len(repeated) or not len(self.gram):
-            return np.zeros(0, np.int64), [], np.zeros(0, np.int64)
+            return Marked(none, none, self.gram[:0], [], none)
         key = spot(self.gram, ranges)
         at = np.minimum(np.searchsorted(repeated, key), len(repeated) - 1)
         which = np.flatnonzero(repeated[at] == key)
+        heavy = np.isin(key[which], crowded)
+        whole, split = which[~heavy], which[heavy]
+        n = self.count[split]
+        each = np.repeat(self.start[split], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        start = np.concatenate([self.start[whole], each])
+        count = np.concatenate([self.count[whole], np.ones(len(each), np.int64)])
         seen: dict[bytes, int] = {}
-        raw, tail = self.data.tobytes(), self.depth - 1
-        text = np.array([seen.setdefault(raw[a : a + c + tail], len(seen)) for a, c in zip(self.start[which].tolist(), self.count[which].tolist(), strict=True)], dtype=np.int64)
-        return which, list(seen), text
+        raw, tail = self.raw, self.depth - 1
+        text = np.array([seen.setdefault(raw[a : a + c + tail], len(seen)) for a, c in zip(start.tolist(), count.tolist(), strict=True)], dtype=np.int64)
+        return Marked(start, np.concatenate([self.doc[whole], np.repeat(self.doc[split], n)]), np.concatenate([self.gram[whole], windows_hash(self.data, each, self.depth)]), list(seen), text)
 
 
 def spot(gram: np.ndarray, ranges: int) -> np.ndarray:
@@ -132,17 +174,18 @@ def unfive(data: bytes, place: int) -> np.ndarray:
     return out.view("<u8").ravel() | np.uint64(place) << np.uint64(40)
 
 
-def repeated_of(t: pa.Table) -> np.ndarray:
-    """A block's repeated grams of the messages of kind 0."""
-    parts = [unfive(a, int.from_bytes(i, "little")) for k, i, a in zip(*[t.column(c).to_pylist() for c in ("kind", "ids", "a")], strict=True) if k == 0]
-    return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+def repeated_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """A block's repeated grams, and the crowded ones, of the messages of kind 0."""
+    rows = [(int.from_bytes(i, "little"), a, b) for k, i, a, b in zip(*[t.column(c).to_pylist() for c in ("kind", "ids", "a", "b")], strict=True) if k == 0]
+    none = [np.zeros(0, np.uint64)]
+    return np.sort(np.concatenate([unfive(a, i) for i, a, _ in rows] or none)), np.concatenate([unfive(b, i) for i, _, b in rows] or none)
 
 
 def radix(data: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of ``data`` at ``at`` that repeat through ``depth`` bytes: their numbers, in groups, and the groups' bounds."""
     live = np.arange(len(at))
     group = np.zeros(len(at), np.int64)
-    for digit in [*range(0, depth - 7, 8), *([depth - 8] if depth % 8 else [])]:
+    for digit in digits(depth):
         key = load(data, at[live] + digit)
         order = np.lexsort((key, group))
         live, key, group = live[order], key[order], group[order]
@@ -196,14 +239,19 @@ def first_docs(grams: np.ndarray, texts: list[bytes], low: np.ndarray, depth: in
     return out
 
 
-def remove_repeats(docs: DataFrame, depth: int = 50, block_bytes: int | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row with a doc_id."""
+def remove_repeats(docs: DataFrame, depth: int = 50, block_bytes: int | None = None, crowd: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row with a doc_id.
+
+    ``crowd`` is the number of distinct runs beyond which a gram is crowded; it moves work, never rows.
+    """
     if depth < 24:
         raise ValueError("depth must be 24 bytes at least")
     spark = docs.sparkSession
     read = only(docs, "doc_id", "text").where("doc_id is not null").select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("content"))
     total = read.agg(F.sum(F.length("content"))).first()[0] or 0
-    ranges = max(1, int(total // (block_bytes or min(64 << 20, max(5 << 20, total // 2500)))) + 1)
+    block_bytes = block_bytes or min(64 << 20, max(5 << 20, total // 2500))
+    ranges = max(1, int(total // block_bytes) + 1)
+    most = crowd if crowd is not None else block_bytes // 4 // (2 * depth)
     name = f"lodestone_blocks_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/lodestone/{name}"
     laid = read.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(ranges)).cast("int"))
@@ -221,15 +269,23 @@ def remove_repeats(docs: DataFrame, depth: int = 50, block_bytes: int | None = N
         new = np.ones(len(key), dtype=bool)
         new[1:] = key[1:] != key[:-1]
         first = np.flatnonzero(new)
+        types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
         if not len(first):
-            return pa.Table.from_arrays([pa.array([], x) for x in (pa.int32(), pa.int32(), pa.binary(), pa.binary())], names=["place", "block", "a", "b"])
+            return pa.Table.from_arrays([pa.array([], x) for x in types], names=["place", "block", "a", "b", "c"])
+        size = np.diff(np.append(first, len(key)))
+        often = np.flatnonzero(size >= COUNTED)
+        texts_of = np.array([b.distinct(order[first[k] : first[k] + size[k]]) for k in often], dtype=np.int64)
+        often, texts_of = often[texts_of >= COUNTED], texts_of[texts_of >= COUNTED]
         more = np.maximum.reduceat(ids, first) > np.minimum.reduceat(ids, first)
         key = key[first]
         place = (key >> np.uint64(40)).astype(np.int64)
         edge = np.append(np.flatnonzero(np.diff(place, prepend=-1)), len(key))
         block = t.column("block")[0].as_py()
-        rows = [(int(place[x]), block, five(key[x:y]), np.packbits(more[x:y]).tobytes()) for x, y in zip(edge[:-1], edge[1:], strict=True)]
-        return pa.Table.from_arrays([pa.array([r[k] for r in rows], x) for k, x in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["place", "block", "a", "b"])
+        rows = []
+        for x, y in zip(edge[:-1], edge[1:], strict=True):
+            p, q = np.searchsorted(often, [x, y])
+            rows.append((int(place[x]), block, five(key[x:y]), np.packbits(more[x:y]).tobytes(), np.stack([often[p:q] - x, texts_of[p:q]]).astype("<i4").tobytes()))
+        return pa.Table.from_arrays([pa.array([r[k] for r in rows], x) for k, x in enumerate(types)], names=["place", "block", "a", "b", "c"])
 
     def shared(batches):
         for t, bounds in runs(batches, ["place"]):
@@ -239,19 +295,26 @@ def remove_repeats(docs: DataFrame, depth: int = 50, block_bytes: int | None = N
                 place = part.column("place")[0].as_py()
                 keys = [unfive(a, place) for a in part.column("a").to_pylist()]
                 more = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8))[: len(k)] for k, m in zip(keys, part.column("b").to_pylist(), strict=True)])
+                texts_of = [np.ones(len(k), np.int64) for k in keys]
+                for own, c in zip(texts_of, part.column("c").to_pylist(), strict=True):
+                    at, n = np.frombuffer(c, "<i4").reshape(2, -1)
+                    own[at] = n
                 key, block = np.concatenate(keys), np.repeat(part.column("block").to_numpy(), [len(k) for k in keys])
                 order = np.argsort(key, kind="stable")
                 s = key[order]
                 again = more[order].astype(bool)
                 again[1:] |= s[1:] == s[:-1]
                 again[:-1] |= s[1:] == s[:-1]
+                first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+                heavy = np.zeros(len(key), dtype=bool)
+                heavy[order] = np.repeat(np.add.reduceat(np.concatenate(texts_of)[order], first) > most, np.diff(np.append(first, len(s))))
                 hit = order[again]
                 hit = hit[np.argsort(block[hit], kind="stable")]
                 edge = np.append(np.flatnonzero(np.diff(block[hit], prepend=-1)), len(hit))
-                out += [(int(block[hit[p]]), 0, place.to_bytes(4, "little"), five(key[hit[p:q]]), None, None, None) for p, q in zip(edge[:-1], edge[1:], strict=True)]
+                out += [(int(block[hit[p]]), 0, place.to_bytes(4, "little"), five(key[hit[p:q]]), five(key[hit[p:q]][heavy[hit[p:q]]]), None, None) for p, q in zip(edge[:-1], edge[1:], strict=True)]
             yield from message(out).to_batches()
 
-    sent = blocks.groupBy("block").applyInArrow(grams, "place int, block int, a binary, b binary")
+    sent = blocks.groupBy("block").applyInArrow(grams, "place int, block int, a binary, b binary, c binary")
     back = cut(sent.repartitionById(ranges, F.col("place")).sortWithinPartitions("place", "block").mapInArrow(tidy(shared), MESSAGE), "repeated")
     release(spark)
 
@@ -260,13 +323,14 @@ def remove_repeats(docs: DataFrame, depth: int = 50, block_bytes: int | None = N
         rows = []
         if t.num_rows and m.num_rows:
             b = Block(t, depth)
-            which, seen, text = b.marked(repeated_of(m), ranges)
-            ids = np.array(b.ids, dtype=np.int64)[b.doc[which]]
+            run = b.marked(*repeated_of(m), ranges)
+            seen, text = run.seen, run.text
+            ids = np.array(b.ids, dtype=np.int64)[run.doc]
             low, high = np.full(len(seen), np.iinfo(np.int64).max), np.full(len(seen), np.iinfo(np.int64).min)
             np.minimum.at(low, text, ids)
             np.maximum.at(high, text, ids)
             gram = np.zeros(len(seen), np.uint64)
-            gram[text] = b.gram[which]
+            gram[text] = run.gram
             place = (spot(gram, ranges) >> np.uint64(40)).astype(np.int64)
             order = np.argsort(place, kind="stable")
             edge = np.append(np.flatnonzero(np.diff(place[order], prepend=-1)), len(order))
@@ -321,22 +385,22 @@ def remove_repeats(docs: DataFrame, depth: int = 50, block_bytes: int | None = N
             return pa.Table.from_arrays([pa.array([], x) for x in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
         b = Block(t, depth)
         delta = np.zeros(len(b.data) + 1, np.int32)
-        which, _, text = b.marked(repeated_of(m), ranges)
+        own = b.marked(*repeated_of(m), ranges)
         rows = [r for r in m.to_pylist() if r["kind"] == 1]
-        if rows and len(which):
+        if rows and len(own.start):
             i, p, q = (np.concatenate([np.frombuffer(r[c], "<i4") for r in rows]).astype(np.int64) for c in ("ids", "a", "b"))
             v = np.concatenate([np.frombuffer(r["c"], np.int64) for r in rows])
             order = np.argsort(i, kind="stable")
             i, p, q, v = i[order], p[order], q[order], v[order]
-            x, y = np.searchsorted(i, text), np.searchsorted(i, text, side="right")
+            x, y = np.searchsorted(i, own.text), np.searchsorted(i, own.text, side="right")
             n = y - x
-            run = np.repeat(which, n)
+            run = np.repeat(np.arange(len(n)), n)
             at = np.repeat(x, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             ids = np.array(b.ids, dtype=np.int64)
-            hit = v[at] < ids[b.doc[run]]
+            hit = v[at] < ids[own.doc[run]]
             run, at = run[hit], at[hit]
-            np.add.at(delta, b.start[run] + p[at], 1)
-            np.add.at(delta, b.start[run] + q[at] - 1 + depth, -1)
+            np.add.at(delta, own.start[run] + p[at], 1)
+            np.add.at(delta, own.start[run] + q[at] - 1 + depth, -1)
         gone = np.cumsum(delta, dtype=np.int32)[: len(b.data)] > 0
         out = []
         for doc, begin, n in zip(b.ids, b.begins.tolist(), b.lengths.tolist(), strict=True):
