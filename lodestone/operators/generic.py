@@ -19,9 +19,20 @@ def repeated(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")).where("place > 1")
 
 
-def numbered(df: DataFrame, scope: list[str], order: list[Column], name: str = "finding_id", pattern: str = "F-%04d") -> DataFrame:
-    """Numbers from 1 within a scope, as text."""
-    return df.withColumn(name, F.format_string(pattern, F.row_number().over(Window.partitionBy(*scope).orderBy(*order))))
+def numbered(df: DataFrame, scope: list[str], order: list[str], name: str = "finding_id", pattern: str = "F-%04d", lead: int = 1) -> DataFrame:
+    """Numbers from 1 within a scope, as text.
+
+    Rows are ranked only among those that agree on the first ``lead`` columns of
+    the order, and start at the number of rows before these, which comes from
+    counts.  So no task holds a scope, only its counts.
+    """
+    keys = [*scope, *order[:lead]]
+    counts = df.groupBy(*keys).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*scope).orderBy(*order[:lead]).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__n")
+    starts = counts.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)], before.alias("__before"))
+    met = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__{i}")) for i, k in enumerate(keys)])
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*(order[lead:] or order)))
+    return df.join(starts, met).withColumn(name, F.format_string(pattern, (F.col("__before") + place).cast("long"))).select(*df.columns, name)
 
 
 def budget(df: DataFrame, order: list[Column], most: int) -> tuple[DataFrame, DataFrame]:
@@ -94,17 +105,27 @@ def longest_prefix(df: DataFrame, key: str, path: str, table: DataFrame, target:
     return df.join(best, key, "left")
 
 
-def latest_before(left: DataFrame, right: DataFrame, key: str, time: str, value: str) -> DataFrame:
+def latest_before(left: DataFrame, right: DataFrame, key: str, time: str, value: str, bucket: Column | None = None) -> DataFrame:
     """``left`` with ``value`` of the last row of ``right`` of its key strictly before it, null if none.
 
-    One sorted pass over the union instead of a join on a range.
+    One sorted pass over the union instead of a join on a range.  With a
+    ``bucket`` (rising with the time, such as its day) a task holds a key's rows
+    of one bucket only; what earlier buckets end with comes from one row of each.
     """
     width = [F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns if c not in (key, time)]
     seen = right.select(key, time, *width, F.col(value).alias("__value"), F.lit(1).alias("__side"))
     both = seen.unionByName(left.select("*", F.lit(None).cast(right.schema[value].dataType).alias("__value"), F.lit(0).alias("__side")))
+    both = both.withColumn("__bucket", F.lit(0) if bucket is None else bucket)
     # at one time a question comes before what is seen
-    before = Window.partitionBy(key).orderBy(time, "__side").rowsBetween(Window.unboundedPreceding, -1)
-    return both.withColumn(f"last_{value}", F.last("__value", ignorenulls=True).over(before)).where("__side = 0").drop("__value", "__side")
+    before = Window.partitionBy(key, "__bucket").orderBy(time, "__side").rowsBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn(f"last_{value}", F.last("__value", ignorenulls=True).over(before)).where("__side = 0").drop("__value", "__side")
+    if bucket is not None:
+        ends = both.groupBy(F.col(key).alias("__key"), F.col("__bucket").alias("__own")).agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), F.col(time))).alias("__end"))
+        earlier = Window.partitionBy("__key").orderBy("__own").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select("__key", "__own", F.last("__end", ignorenulls=True).over(earlier).alias("__carried"))
+        found = found.join(carried, F.col(key).eqNullSafe(F.col("__key")) & F.col("__bucket").eqNullSafe(F.col("__own")))
+        found = found.withColumn(f"last_{value}", F.coalesce(f"last_{value}", "__carried")).drop("__key", "__own", "__carried")
+    return found.drop("__bucket")
 
 
 def nesting(blocks: DataFrame, scope: list[str]) -> DataFrame:

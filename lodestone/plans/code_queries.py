@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.plans import results, rules
+from lodestone.plans import results, rules, views
 from lodestone.sources import manifests, python_code, snapshot
 
 QUERIES: dict = {}
@@ -102,6 +102,17 @@ def duplicate_candidates(files) -> DataFrame:
     return rules.duplicates(python_code.bodies(files, python_code.parsed(files)))
 
 
+@query
+def imported_names(files) -> DataFrame:
+    found = views.imported_names(python_code.parsed(files), ["analysis_id"])
+    return found.withColumn("names", F.array_join("names", ","))
+
+
+@query
+def scope_summary(files) -> DataFrame:
+    return views.scope_summary(files, python_code.parsed(files))
+
+
 @query
 def dependency_rules(files) -> DataFrame:
     spark = files.sparkSession
@@ -143,10 +154,12 @@ ORACLES |= {
     "read_manifests": f"with {WANTED} select 'tables' as analysis_id, project_context, 'PyPI' as ecosystem, name as canonical_name, path, name, spec, version, 'requirements' as section, 'runtime' as runtime_context, line, false as locked, 'direct' as dependency_class from d",
     "import_graph": f"with {MODULES}, e as (select a.k as src, b.k as dst from m a join m b on b.k = (a.k * 7 + 1) % 100 where a.k <> b.k), x as (select src as k, dst as other from e union select dst, src from e)"
     " select 'tables' as analysis_id, path, (select count(*) from e where src = m.k) as fan_out, (select count(*) from e where dst = m.k) as fan_in, (select count(*) from x where x.k = m.k) as coupling from m",
+    "imported_names": f"with {MODULES}, i as (select 'pkg' || n as name from m union select 'pkg' || (k * 7 + 1) % 25 from m union select * from (values ('sqlite3'), ('subprocess'), ('flask'))) select 'tables' as analysis_id, string_agg(name, ',' order by name) as names, false as dynamic from i",
+    "scope_summary": f"with {MODULES}, {WANTED} select 'tables' as analysis_id, 'modules' as scope, path from m union all select distinct 'tables', 'unsupported', path from d",
     "structure_rules": f"with {MODULES} {STRUCTURE[0]} union all {STRUCTURE[1]}",
     "security_rules": f"with {MODULES} " + finding_sql("m", "SEC-SQL-INJECTION", "security", "High", "High", "14", "14", "'Service' || k || '.load:cursor.execute'", "'cursor.execute external'"),
     "hardcoded_secrets": f"with {MODULES} " + finding_sql("m", "SEC-HARDCODED-SECRET", "security", "Medium", "Medium", "18", "18", "'assignment'", "'    ***'"),
-    "duplicate_candidates": f"with {MODULES}, f as (select m.path, (select min(path) from m) as first from m where (select count(*) from m) > 1) " + finding_sql("f", "CODE-DUPLICATE-CANDIDATE", "code_structure", "Info", "Low", "21", "28", "'total'", "'shares 25 runs, first in ' || first || ':21'"),
+    "duplicate_candidates": f"with {MODULES}, f as (select m.path, (select min(path) from m) as first from m where (select count(*) from m) > 1) " + finding_sql("f", "CODE-DUPLICATE-CANDIDATE", "code_structure", "Info", "Medium", "21", "28", "'total'", "'shares 25 runs, first in ' || first || ':21, longest 74 tokens'"),
     "dependency_rules": f"with {WANTED}, adv as (select * from (values ('lib2', '2.0', 'ADV-1'), ('lib4', '1.0', 'ADV-2')) v(name, version, advisory)),"
     f" k as (select name, version, advisory, {AT} from (select name, version, advisory, {PLACE} from d join adv using (name, version) group by 1, 2, 3)),"
     f" v as (select name, versions, {AT} from (select name, string_agg(distinct version, ',' order by version) as versions, count(distinct version) as n, {PLACE} from d where version is not null group by 1) where n > 1),"

@@ -26,7 +26,7 @@ def merged(*findings: DataFrame) -> DataFrame:
     """All findings, once per (analysis, identity), numbered F-0001 on per analysis in their presentation order."""
     every = reduce(DataFrame.unionByName, findings)
     once = G.first_of(every, ["analysis_id", "identity_key"], [F.col("rule_id"), F.col("path"), F.col("start_line")])
-    return G.numbered(once, ["analysis_id"], [F.col(c) for c in ("rule_id", "path", "start_line", "identity_key")])
+    return G.numbered(once, ["analysis_id"], ["rule_id", "path", "start_line", "identity_key"], lead=2)
 
 
 def file_coverage(files: DataFrame, code: DataFrame) -> DataFrame:

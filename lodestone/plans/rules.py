@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.functions.source_text import longest_shared_run
 from lodestone.operators import generic as G
 from lodestone.sources.snapshot import source_lines
 
@@ -139,14 +140,18 @@ def structure(code: DataFrame) -> DataFrame:
 def duplicates(bodies: DataFrame) -> DataFrame:
     """CODE-DUPLICATE-CANDIDATE: bodies that share a run of fifty tokens with another body.
 
-    A body is linked with the first body of each of its runs, never with all.
+    A body is linked with the first body of each of its runs, never with all; the
+    longest run that it shares with the first of these is exact, however long both are.
     """
     own = ["analysis_id", "path", "qualified", "start_line", "end_line"]
+    place = F.struct("path", "start_line", "qualified")
     windows = bodies.where("tokens is not null").select(*own, F.explode(F.array_distinct(G.windows_of(F.col("tokens"), THRESHOLDS["duplicate_tokens"]))).alias("window"))
-    first = windows.groupBy("analysis_id", "window").agg(F.min(F.struct("path", "start_line", "qualified")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = windows.groupBy("analysis_id", "window").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     shared = windows.join(first, ["analysis_id", "window"]).groupBy(*own).agg(F.min("first").alias("first"), F.count("*").alias("n_windows"))
-    detail = F.concat(F.lit("shares "), "n_windows", F.lit(" runs, first in "), "first.path", F.lit(":"), "first.start_line")
-    return finding(shared, "CODE-DUPLICATE-CANDIDATE", "code_structure", "Info", "Low", F.col("qualified"), detail, line="start_line")
+    origin = bodies.select("analysis_id", place.alias("first"), F.col("tokens").alias("first_tokens")).dropDuplicates(["analysis_id", "first"])
+    both = shared.join(bodies.select(*own, "tokens").dropDuplicates(own), own).join(origin, ["analysis_id", "first"])
+    detail = F.concat(F.lit("shares "), "n_windows", F.lit(" runs, first in "), "first.path", F.lit(":"), "first.start_line", F.lit(", longest "), "longest", F.lit(" tokens"))
+    return finding(both.withColumn("longest", longest_shared_run(F.col("tokens"), F.col("first_tokens"))), "CODE-DUPLICATE-CANDIDATE", "code_structure", "Info", "Medium", F.col("qualified"), detail, line="start_line")
 
 
 def responsibilities(code: DataFrame, edges: DataFrame) -> DataFrame:

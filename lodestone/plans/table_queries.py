@@ -187,7 +187,7 @@ def longest_prefix_join(t) -> DataFrame:
 def latest_before(t) -> DataFrame:
     events = t("events").select("user_id", "ts", "event_id", "event_type")
     clicks = events.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("click"))
-    return G.latest_before(events.where("event_type = 'purchase'"), clicks, "user_id", "ts", "click").select("event_id", F.col("last_click").alias("last_click"))
+    return G.latest_before(events.where("event_type = 'purchase'"), clicks, "user_id", "ts", "click", F.to_date("ts")).select("event_id", F.col("last_click").alias("last_click"))
 
 
 BLOCKS_SQL = "with b as (select event_id, user_id, event_id // 64 as scope, event_id % 64 as s, least(63, event_id % 64 + user_id % 17) as e from events)"
@@ -340,7 +340,7 @@ def budget_cut(t) -> DataFrame:
 
 @query("select o_custkey, o_orderkey, printf('F-%04d', row_number() over (partition by o_custkey order by o_orderdate, o_orderkey)) as finding_id from orders")
 def finding_number(t) -> DataFrame:
-    return G.numbered(t("orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")]).select("o_custkey", "o_orderkey", "finding_id")
+    return G.numbered(t("orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "finding_id")
 
 
 @query("select l_orderkey, l_linenumber, sha256('[\"' || l_returnflag || '\",' || l_partkey || ',' || l_suppkey || ',\"' || l_linestatus || '\"]') as identity_key from lineitem")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions import source_text as S
 from lodestone.operators import generic as G
 from lodestone.plans import evaluation as E
 from lodestone.plans import table_queries
@@ -285,3 +286,43 @@ def advisory_records(t) -> DataFrame:
     raw = F.concat(F.lit('{"id": "'), F.when(kind != "view", F.concat(F.lit("ADV-"), "event_id")).otherwise(""), F.lit('", "aliases": ["x", "'), kind, F.lit('", "x", null], "severity": [{"type": "s", "score": "7.5"}], "database_specific": {"severity": "'), F.when(kind == "error", "HIGH").otherwise(""), F.lit('"}, "references": [{"url": "u"}]}'))
     a = t("events").select("event_id", V.advisory(raw).alias("a"))
     return a.select("event_id", "a.advisory_id", F.array_join("a.aliases", ",").alias("aliases"), "a.severity")
+
+
+@query(
+    "with l as (select p_partkey as k, 'x' || p_partkey || ' = ' as head, 'f\"a#' || p_partkey || chr(92) || '\"(\"' as first, chr(39) || 'it, ' || p_size || chr(39) as second from part)"
+    " select k, head || 'f\"\" + ' || repeat(chr(39), 2) || ' # it' as emptied, head || repeat(' ', len(first)) || ' + ' || repeat(' ', len(second) + 5) as blank, head || first || ' + ' || second || ' ' as line from l"
+)
+def source_masking(t) -> DataFrame:
+    line = F.concat(F.lit("x"), "k", F.lit(' = f"a#'), "k", F.lit("\\\"(\" + 'it, "), "p_size", F.lit("' # it"))
+    lines = t("part").select(F.col("p_partkey").alias("k"), "p_size").withColumn("text", line)
+    return lines.select("k", S.strings_emptied(F.col("text")).alias("emptied"), S.blanked(F.col("text")).alias("blank"), S.without_comment(F.col("text")).alias("line"))
+
+
+@query(
+    "select p_partkey as k, 'open(p' || p_partkey || ', \"a,(' || p_size || '\", # one, (two' || chr(10) || '  g(1, [2, 3]), mode=(4, ))' as span,"
+    " 'p' || p_partkey || ' | \"a,(' || p_size || '\" | # one, (two' || chr(10) || '  g(1, [2, 3]) | mode=(4, )' as arguments from part"
+)
+def call_arguments(t) -> DataFrame:
+    lines = F.array(F.lit("# ("), F.concat(F.lit("y = open(p"), "k", F.lit(', "a,('), "p_size", F.lit('", # one, (two')), F.lit("  g(1, [2, 3]), mode=(4, )).read(1)"), F.lit("z"))
+    calls = t("part").select(F.col("p_partkey").alias("k"), "p_size").select("k", S.call_span(lines, F.lit(2), F.lit(4)).alias("span"))
+    return calls.select("k", "span", F.array_join(S.arguments(F.col("span")), " | ").alias("arguments"))
+
+
+@query(
+    "with s as (select o_custkey as k, o_orderstatus || o_orderpriority as w, row_number() over (partition by o_custkey order by o_orderkey) as i from orders),"
+    " h as (select a.k, a.i, a.i - b.i as d from s a join s b on b.k = a.k + 1 and a.w = b.w),"
+    " r as (select k, d, count(*) as n from (select k, d, i - row_number() over (partition by k, d order by i) as island from h) group by k, d, island),"
+    " c as (select distinct a.k from s a join s b on b.k = a.k + 1)"
+    " select c.k, cast(coalesce(max(n), 0) as int) as longest from c left join r on c.k = r.k group by c.k"
+)
+def shared_runs(t) -> DataFrame:
+    words = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", F.concat("o_orderstatus", "o_orderpriority").alias("w")))), lambda x: x["w"])
+    lists = t("orders").groupBy(F.col("o_custkey").alias("k")).agg(words.alias("tokens"))
+    both = lists.join(lists.select((F.col("k") - 1).alias("k"), F.col("tokens").alias("others")), "k")
+    return both.select("k", S.longest_shared_run(F.col("tokens"), F.col("others")).alias("longest"))
+
+
+@query("select l_orderkey as file, l_linenumber, 'f' || o_custkey as path from lineitem join orders on o_orderkey = l_orderkey")
+def coverage_of_files(t) -> DataFrame:
+    files = t("orders").select(F.col("o_orderkey").alias("file"), F.concat(F.lit("f"), "o_custkey").alias("path"))
+    return V.coverage_of_files(files, t("lineitem").select(F.col("l_orderkey").alias("file"), "l_linenumber"), "file")

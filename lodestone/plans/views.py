@@ -215,3 +215,25 @@ def advisory(raw: Column) -> Column:
     clean = lambda a: F.array_sort(F.array_distinct(F.filter(F.coalesce(a, F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))))
     severity = F.coalesce(F.nullif(r["database_specific"]["severity"], F.lit("")), F.get(r["severity"], F.lit(0))["score"])
     return F.when(r["id"] != "", F.struct(r["id"].alias("advisory_id"), clean(r["aliases"]).alias("aliases"), r["summary"].alias("summary"), severity.alias("severity"), clean(F.transform(r["references"], lambda x: x["url"])).alias("references"), r["published"].alias("published"), r["modified"].alias("modified")))
+
+
+def coverage_of_files(files: DataFrame, coverage: DataFrame, key: str) -> DataFrame:
+    """``coverage`` with the path of its file; a row whose file is unknown is an error."""
+    known = files.select(key, "path").withColumn("__known", F.lit(True))
+    unknown = F.raise_error(F.concat(F.lit("coverage of an unknown file: "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return coverage.join(known, key, "left").withColumn("path", F.when(F.col("__known"), F.col("path")).otherwise(unknown.cast("string"))).drop("__known")
+
+
+def imported_names(code: DataFrame, keys: list[str]) -> DataFrame:
+    """Top-level names that absolute imports bring in, in lower case, and whether any module is brought in by a call."""
+    found = code.where("kind in ('import', 'call')")
+    top = F.when((F.col("kind") == "import") & ~F.col("name").startswith("."), F.lower(F.element_at(F.split("name", "[.]"), 1)))
+    return found.select(*keys, top.alias("name"), ((F.col("kind") == "call") & F.col("name").isin("__import__", "importlib.import_module")).alias("dynamic")).groupBy(*keys).agg(F.array_sort(F.collect_set("name")).alias("names"), F.bool_or("dynamic").alias("dynamic"))
+
+
+def scope_summary(files: DataFrame, code: DataFrame) -> DataFrame:
+    """analysis_id, scope, path: modules read in full, Python files that failed, and files of other languages; a row a file, never one list of all."""
+    failed = code.where("kind = 'diagnostic'").select("analysis_id", "path", F.lit(True).alias("failed")).distinct()
+    python = F.col("language") == "Python"
+    scope = F.when(python & F.col("failed"), "failed").when(python & F.col("eligible"), "modules").otherwise("unsupported")
+    return files.join(failed, ["analysis_id", "path"], "left").select("analysis_id", scope.alias("scope"), "path")

@@ -13,7 +13,10 @@ from __future__ import annotations
 import ast
 import json
 import re
+import signal
+import threading
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 import pyarrow as pa
@@ -28,6 +31,8 @@ EXTERNAL = re.compile(r"^(sys\.argv|sys\.stdin|sys\.environ|argv|input\(\))|^req
 CONFIGURABLE = re.compile(r"^(os\.environ|os\.getenv|getenv|environ|config\.|settings\.|CONFIG\b)")
 PURE = {"str", "int", "float", "bool", "len", "repr", "format", "join", "upper", "lower", "strip", "encode", "decode", "range", "list", "dict", "tuple", "set", "replace"}
 MOST_STEPS = 8
+# Fixed value: seconds that a file may take
+SECONDS = 30
 
 
 def dotted(node: ast.AST) -> str:
@@ -187,8 +192,35 @@ class Reader(ast.NodeVisitor):
         self.generic_visit(node)
 
 
-def elements(path: str, text: str) -> list[tuple]:
-    """Rows of one file; a file that can't be parsed has one diagnostic."""
+@contextmanager
+def at_most(seconds: float):
+    """TimeoutError in the block once the seconds are over (where the worker's thread can take a signal)."""
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def over(*_):
+        raise TimeoutError
+
+    before = signal.signal(signal.SIGALRM, over)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def elements(path: str, text: str, seconds: float = SECONDS) -> list[tuple]:
+    """Rows of one file; a file that can't be parsed, or not in time, has one diagnostic."""
+    try:
+        with at_most(seconds):
+            return rows_of(path, text)
+    except TimeoutError:
+        return [("diagnostic", "Timeout", "", 1, 0, 1, [], {"message": f"not parsed within {seconds:g} seconds"})]
+
+
+def rows_of(path: str, text: str) -> list[tuple]:
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
