@@ -1,8 +1,8 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions alone.
 
 Lines (split at line feeds, trimmed, of at least ``least`` bytes) that are equal
-are one class.  Classes within ``threshold`` byte edits of each other are
-linked.  A class's bytes are split into threshold-plus-one segments, each an
+are one class.  Classes within ``threshold`` byte edits of each other, if both
+have ``linked`` bytes at least (``least`` if not given), are linked.  A class's bytes are split into threshold-plus-one segments, each an
 entry of an index by length; a line probes the indexes of its own length and of
 those up to ``threshold`` shorter with the substrings at which a segment can
 still lie (few, as the edits before and behind it are bounded).  Pairs that
@@ -262,12 +262,12 @@ def links_of(classes: DataFrame, threshold: int = 2, crowd: int = CROWD) -> Data
     return cut(both.where(within(F.col("a_content"), F.col("b_content"), threshold)).select("a1", "a2", "b1", "b2", "a_first", "b_first"), "links")
 
 
-def judged(docs: DataFrame, threshold: int = 2, least: int = 16, crowd: int = CROWD) -> DataFrame:
+def judged(docs: DataFrame, threshold: int = 2, least: int = 16, crowd: int = CROWD, linked: int | None = None) -> DataFrame:
     """doc_id, row, line_no, class_doc_id, class_line_no (the class's first line), n_links (classes linked with it) and removed, of every judged line."""
     spark = docs.sparkSession
     classes = classes_of(lines_of(docs, least))
     release(spark)
-    links = links_of(classes, threshold, crowd)
+    links = links_of(classes if linked is None else classes.where(F.length("content") >= linked), threshold, crowd)
     release(spark)
     ends = links.select(F.col("a1").alias("h1"), F.col("a2").alias("h2"), F.col("b_first").alias("near")).unionByName(links.select(F.col("b1").alias("h1"), F.col("b2").alias("h2"), F.col("a_first").alias("near")))
     near = ends.groupBy(*ID).agg(F.count("*").alias("n_links"), F.min("near").alias("near"))
@@ -303,10 +303,10 @@ ORACLE = """
 with l as (
   select doc_id, line_no, trim(line, e' \\t\\r\\x0b\\x0c') as line
   from (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as line_no from documents where doc_id is not null)
-), o as (select * from l where strlen(line) >= 16
+), o as (select * from l where strlen(line) >= 1
 ), c as (select line, strlen(line) as n, min(row(doc_id, line_no)) as first from o group by line
 ), p as (
-  select a.line as x, b.line as y from c a join c b on b.n between a.n and a.n + 2 and (a.n < b.n or a.line < b.line) where levenshtein(a.line, b.line) <= 2
+  select a.line as x, b.line as y from c a join c b on b.n between a.n and a.n + 2 and a.n >= 16 and (a.n < b.n or a.line < b.line) where levenshtein(a.line, b.line) <= 2
 ), e as (select x, y from p union select y, x from p
 ), near as (select e.x as line, count(*) as n_links, min(c.first) as near from e join c on c.line = e.y group by 1)
 select o.doc_id, cast(o.line_no as bigint) as line_no, c.first[1] as class_doc_id, cast(c.first[2] as bigint) as class_line_no,

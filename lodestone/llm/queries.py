@@ -13,7 +13,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.judged(table(spark, sf_dir, "documents"), threshold=2, least=16).drop("row")
+    return line_dedup.judged(table(spark, sf_dir, "documents"), threshold=2, least=1, linked=16).drop("row")
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ def distance(a: bytes, b: bytes) -> int:
     return row[-1]
 
 
-def brute(docs, threshold, least):
+def brute(docs, threshold, least, linked=0):
     lines, first = [], {}
     for doc, text in docs:
         if doc is not None:
@@ -24,7 +24,7 @@ def brute(docs, threshold, least):
                 if len(raw) >= least:
                     lines.append((doc, n, raw))
                     first[raw] = min(first.get(raw, (doc, n)), (doc, n))
-    near = {x: [y for y in first if y != x and abs(len(x) - len(y)) <= threshold and distance(x, y) <= threshold] for x in first}
+    near = {x: [y for y in first if y != x and min(len(x), len(y)) >= linked and abs(len(x) - len(y)) <= threshold and distance(x, y) <= threshold] for x in first}
     return sorted((d, n, *first[x], len(near[x]), (d, n) > min([first[x], *(first[y] for y in near[x])])) for d, n, x in lines)
 
 
@@ -50,6 +50,13 @@ def test_against_brute_force(spark, threshold, crowd):
     assert found(spark, docs, threshold=threshold, least=12, crowd=crowd) == brute(docs, threshold, 12)
 
 
+def test_short_lines_are_judged_by_exact_repeats(spark):
+    docs = [(1, "}\nab\nabcdefghijklmnop"), (2, "}\n \nac\nabcdefghijklmno\nabcdefghijklmnoq"), (3, "ab\nabcdefghijklmnx\n"), (4, "\r\nabcdefghijklmnop")]
+    rows = found(spark, docs, threshold=2, least=1, linked=16)
+    assert rows == brute(docs, 2, 1, 16)
+    assert [r for r in rows if r[:2] == (2, 0)] == [(2, 0, 1, 0, 0, True)]
+
+
 @pytest.mark.parametrize("threshold", [1, 2])
 def test_crowded_keys_are_refined_and_lose_nothing(spark, threshold):
     rng = random.Random(4)
