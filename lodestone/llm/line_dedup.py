@@ -47,7 +47,8 @@ COUNTED = "etaoinshrdlcumwfgypb0123456789"
 def lines_of(docs: DataFrame, least: int) -> DataFrame:
     """doc_id, row (of the text), line_no, line, h1, h2 of every line that is judged."""
     read = only(docs, "doc_id", "text").where("doc_id is not null")
-    lines = read.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    # the text's hash is taken before the lines are: beside the generator it would be taken for each line
+    lines = read.select("doc_id", "text", F.xxhash64("text").alias("row")).select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     lines = lines.withColumn("line", F.btrim("line", F.lit(BLANKS))).where(F.octet_length("line") >= least)
     return lines.select("doc_id", "row", F.col("line_no").cast("long").alias("line_no"), "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"))
 
