@@ -11,13 +11,20 @@ stay with each of its parts.  Where all values are equal, parts are dealt by
 hash, again with pivots.
 
 Neighbours whose sketches agree well enough to be possible links chain classes
-into clusters.  A cluster is verified on the full sets by one task; one of more
-than ``BLOCK`` shingles is dealt to blocks first.  Then neighbours in different
-blocks are looked at, one pair for each two components at first and eight times
-as many in each further round, until all that could still join two components
-have been verified.  So no pair of neighbours that could join two components is
-left out, and a group of near copies, however large, costs a few pairs for each
-block and never all pairs.
+into clusters.  What cuts and parts have kept from each other meets then: a
+region that was cut and still holds several clusters is dealt to blocks, and
+each two of its blocks are neighbours in full.  So every two classes that share
+the first values of a tree are either neighbours or in one cluster already, and
+a region of near copies, all of one cluster, costs nothing more.
+
+A cluster is verified on the full sets by one task; one of more than ``BLOCK``
+shingles is dealt to blocks first.  Then neighbours in different blocks are
+looked at, one pair for each two components at first and eight times as many in
+each further round, until all that could still join two components have been
+verified; after that the same with each two blocks of the cut regions in which
+the cluster still has several components.  So no pair of one region that could
+join two components is left out, and a group of near copies, however large,
+costs a few pairs for each block and never all pairs.
 
 A set holds the distinct shingles of ``shingle`` words (A-Z lower-cased, white
 space between), or the whole sequence of a text with fewer words; texts without
@@ -46,6 +53,8 @@ TREES, DEPTH, DEEPER, SKETCH = 40, 5, 8, 128
 MAYBE = 0.64
 #: Classes that a region of a tree holds at most before it is cut by its next values.
 ENOUGH = 256
+#: Blocks of cut regions hold so many times as many.
+WIDE = 4
 #: Shingles that a task compares at once.
 BLOCK = 1_000_000
 RANDOM = np.random.default_rng(20240229)
@@ -137,8 +146,8 @@ def _dealt(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "heads", "below").mapInArrow(tidy(kernel), "rep long, region long, below long")
 
 
-def regions_of(classes: DataFrame) -> DataFrame:
-    """region, rep: who is whose neighbour; each region of each tree as deep as it has to be.
+def regions_of(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """region, rep: who is whose neighbour, each region of each tree as deep as it has to be; and the regions that were cut, whole.
 
     Depths are ``DEPTH``, and that with half or all of the values below; where
     all are equal and still too many meet, parts are dealt by hash.
@@ -149,7 +158,8 @@ def regions_of(classes: DataFrame) -> DataFrame:
     release(classes.sparkSession)
     out, crowded = rows.where(F.col("m") <= ENOUGH).select("region", "rep"), rows.where(F.col("m") > ENOUGH)
     if not crowded.limit(1).count():
-        return cut(out, "near")
+        return cut(out, "near"), None
+    whole = crowded.select("region", "rep")
     half, full = (F.xxhash64("region", F.lit(d), F.shiftrightunsigned("below", 8 * (DEEPER - d))) for d in (DEEPER // 2, DEEPER))
     crowded = crowded.select("region", "rep", half.alias("half"), full.alias("full"))
     # the smallest comes first where neighbours are chained, so regions of one group agree on most edges
@@ -163,7 +173,23 @@ def regions_of(classes: DataFrame) -> DataFrame:
     deepest = crowded.select("full", "rep").join(fulls.select("full", "parts"), "full").select(part(F.pmod(F.xxhash64("rep", "full"), "parts")), "rep")
     above = halves.where(F.col("m") <= ENOUGH).select("region", "half").join(crowded.groupBy("region").agg(*pivots), "region").select(F.col("half").alias("region"), three)
     above_deepest = fulls.join(halves.select("half", "p0", "p1", "p2"), "half").select("full", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"), F.array("p0", "p1", "p2").alias("ps")).select(part(F.col("salt")), F.explode("ps").alias("rep"))
-    return cut(out.union(deep).union(deepest).union(above).union(above_deepest), "near")
+    return cut(out.union(deep).union(deepest).union(above).union(above_deepest), "near"), whole
+
+
+def each_two_blocks(whole: DataFrame, held: list[str]) -> DataFrame | None:
+    """region, rep and ``held``: each two blocks of the regions of ``whole`` that hold several components; None if no region does.
+
+    ``whole`` has region, rep, component and ``held``.
+    """
+    apart = whole.groupBy("region").agg(F.count("*").alias("m"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+    apart = cut(apart.select("region", F.ceil(F.col("m") / (WIDE * ENOUGH)).alias("blocks")), "apart")
+    if not apart.limit(1).count():
+        return None
+    mine = F.pmod(F.xxhash64("rep", "region"), "blocks")
+    rows = whole.join(apart, "region").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("blocks") - 1, F.lit(0)))))
+    # a block meets itself wherever it meets another one
+    rows = rows.where("blocks = 1 or mine <> other")
+    return rows.select(F.xxhash64("region", F.least("mine", "other"), F.greatest("mine", "other"), F.lit("blocks")).alias("region"), "rep", *held)
 
 
 def grouped(n: int, reach) -> list[tuple[int, int]]:
@@ -199,11 +225,11 @@ def _maybe(near: DataFrame) -> DataFrame:
     return near.mapInArrow(tidy(kernel), "a long, b long")
 
 
-APART = "a long, b long, x long, y long, agree int"
+APART = "a long, b long, x long, y long, agree int, more boolean"
 
 
 def _apart(near: DataFrame, most: int) -> DataFrame:
-    """Of each region and each two components in it the ``most`` pairs of neighbours that agree best, if they may be links."""
+    """Of each region and each two components in it the ``most`` pairs of neighbours that agree best, if they may be links, and whether there are more."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, bounds in runs(batches, ["region"]):
@@ -216,20 +242,22 @@ def _apart(near: DataFrame, most: int) -> DataFrame:
                     continue
                 rows = []
                 for i in range(q - p - 1):
-                    agree = (own[i + 1 :] == own[i]).sum(axis=1)
-                    hit = np.flatnonzero((agree >= MAYBE * SKETCH) & (comp[i + 1 :] != comp[i]) & (rep[i + 1 :] != rep[i])) + i + 1
-                    for j in hit.tolist():
-                        u, v = (i, j) if comp[i] < comp[j] else (j, i)
-                        rows.append((rep[u], rep[v], comp[u], comp[v], agree[j - i - 1]))
+                    others = np.flatnonzero((comp[i + 1 :] != comp[i]) & (rep[i + 1 :] != rep[i])) + i + 1
+                    agree = (own[others] == own[i]).sum(axis=1)
+                    j, agree = others[agree >= MAYBE * SKETCH], agree[agree >= MAYBE * SKETCH]
+                    if len(j):
+                        u, v = np.where(comp[i] < comp[j], i, j), np.where(comp[i] < comp[j], j, i)
+                        rows.append(np.stack([rep[u], rep[v], comp[u], comp[v], agree], axis=1))
                 if rows:
-                    r = np.array(rows, dtype=np.int64)
+                    r = np.concatenate(rows)
                     r = r[np.lexsort((r[:, 1], r[:, 0], -r[:, 4], r[:, 3], r[:, 2]))]
                     new = np.ones(len(r), dtype=bool)
                     new[1:] = (r[1:, 2:4] != r[:-1, 2:4]).any(axis=1)
-                    first = np.flatnonzero(new)
-                    found.append(r[np.arange(len(r)) - first[np.cumsum(new) - 1] < most])
-            r = np.concatenate(found) if found else np.zeros((0, 5), np.int64)
-            yield pa.RecordBatch.from_arrays([*[pa.array(r[:, k]) for k in range(4)], pa.array(r[:, 4].astype(np.int32))], names=["a", "b", "x", "y", "agree"])
+                    first, group = np.flatnonzero(new), np.cumsum(new) - 1
+                    more = np.diff(np.append(first, len(r)))[group] > most
+                    found.append(np.column_stack([r, more])[np.arange(len(r)) - first[group] < most])
+            r = np.concatenate(found) if found else np.zeros((0, 6), np.int64)
+            yield pa.RecordBatch.from_arrays([*[pa.array(r[:, k]) for k in range(4)], pa.array(r[:, 4].astype(np.int32)), pa.array(r[:, 5] > 0)], names=["a", "b", "x", "y", "agree", "more"])
 
     return near.mapInArrow(tidy(kernel), APART)
 
@@ -280,10 +308,17 @@ def _confirmed(texts: DataFrame, blocks: DataFrame, keys: list[str], n: int, per
 def linked_classes(classes: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(id, component) of the classes (rep, size, heads, below, sketch) that are linked with others; ``texts`` are (rep, text)."""
     spark = classes.sparkSession
-    near = regions_of(classes)
+    near, whole = regions_of(classes)
     ordered = lambda df: df.repartition("region").sortWithinPartitions("region", "rep")
-    clusters = components(cut(_maybe(ordered(near.join(classes.select("rep", "sketch"), "rep"))).distinct(), "maybe"))
+    chained = lambda df: cut(_maybe(ordered(df.join(classes.select("rep", "sketch"), "rep"))).distinct(), "maybe")
+    clusters = components(chained(near))
     release(spark)
+    if whole is not None:
+        labelled = whole.join(clusters.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        wide = each_two_blocks(labelled, [])
+        if wide is not None:
+            clusters = components(clusters.select(F.col("id").alias("a"), F.col("component").alias("b")).union(chained(wide)))
+            release(spark)
     sized = cut(clusters.select(F.col("id").alias("rep"), F.col("component").alias("cluster")).join(classes.select("rep", "size"), "rep"), "clusters")
     wide = sized.groupBy("cluster").agg(F.sum("size").alias("total")).withColumn("blocks", F.ceil(F.col("total") / BLOCK))
     placed = cut(sized.join(wide, "cluster").select("rep", "cluster", "blocks", F.pmod(F.xxhash64("rep"), "blocks").alias("block")), "placed")
@@ -298,13 +333,24 @@ def linked_classes(classes: DataFrame, texts: DataFrame, shingle: int, percent:
     hood = cut(hood.withColumn("component", F.coalesce("component", "rep")).repartition("region").sortWithinPartitions("region", "rep"), "hood")
     tried = None
     while True:
-        pairs = _apart(ordered(hood), most).distinct()
+        pairs = _apart(ordered(hood), most).drop("more").distinct()
         best = F.row_number().over(Window.partitionBy("x", "y").orderBy(F.desc("agree"), "a", "b"))
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         asked = cut(pairs.withColumn("rank", best).where(F.col("rank") <= most).select("a", "b", "x", "y"), "asked")
         if not asked.limit(1).count():
-            return found
+            if _apart(ordered(hood), most).where("more").limit(1).count():  # the best have been tried, under other components' names
+                most *= 8
+                continue
+            if whole is None:
+                return found
+            # neighbours have joined what they can; what cuts and parts keep from each other is asked last
+            hood = whole.join(placed.where("blocks > 1").select("rep", "cluster"), "rep").join(classes.select("rep", "sketch"), "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left")
+            hood = each_two_blocks(hood.select(F.xxhash64("region", "cluster").alias("region"), "rep", "sketch", F.coalesce("component", "rep").alias("component")), ["sketch", "component"])
+            if hood is None:
+                return found
+            hood, whole, most = cut(hood, "hood"), None, 1
+            continue
         ends = asked.select("a", "b", F.explode(F.array("a", "b")).alias("rep"))
         links = _confirmed(few, ends, ["a", "b"], shingle, percent).join(asked, ["a", "b"])
         moved = components(cut(links.select(F.col("x").alias("a"), F.col("y").alias("b")), "links")).select(F.col("id").alias("component"), F.col("component").alias("fresh"))

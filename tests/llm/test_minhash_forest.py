@@ -118,3 +118,25 @@ def test_very_long_texts(spark):
 
 def test_empty_table(spark):
     assert minhash_forest.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("block", [10**6, 200])
+def test_cut_regions_lose_no_pair(spark, monkeypatch, block):
+    """Classes that share each tree's first values and none of the others, so that every cut parts them."""
+    monkeypatch.setattr(minhash_forest, "ENOUGH", 2)
+    monkeypatch.setattr(minhash_forest, "BLOCK", block)
+    rng, docs, rows = random.Random(3), [], []
+    for k in range(20):
+        own = [f"{k}w{j}" for j in range(60)]
+        docs += [(2 * k, own), (2 * k + 1, [*own[:20], "other", *own[21:]])]
+    # one group of near copies, more than a block and chained by none that is left out
+    docs += [(100 + k, [*[f"c{j}" for j in range(60)][: 58 - k], *[f"new{j}" for j in range(k)]]) for k in range(30)]
+    for rep, words in docs:
+        heads, _, sketch = minhash_forest.signature(minhash_forest.shingles(" ".join(words).encode(), 2, minhash_forest.Hashes()))
+        heads = b"".join(t.to_bytes(8, "little") for t in range(minhash_forest.TREES))
+        rows.append((rep, len(words) - 1, bytearray(heads), bytearray(rng.randbytes(8 * minhash_forest.TREES)), bytearray(sketch)))
+    classes = spark.createDataFrame(rows, "rep long, size long, heads binary, below binary, sketch binary")
+    docs = [(d, " ".join(words)) for d, words in docs]
+    found = minhash_forest.linked_classes(classes, spark.createDataFrame(docs, "rep long, text string"), 2, 80)
+    got = {r["id"]: r["component"] for r in found.collect()}
+    assert {d: got.get(d, d) for d, _ in docs} == {d: component for d, _, component, _ in brute(docs, 2, 80)}
