@@ -11,13 +11,15 @@ through a banded bit-parallel edit distance (the diagonal recurrence of Hyyro,
 2003, "A bit-vector algorithm for computing Levenshtein and Damerau edit
 distances") whose band is one small integer.
 
-A key that more lines share than a finer look would cost isn't paired out.  Its
-lines go to a finer index, of 8 pieces (then 32, 128, and so on), of which all
-but ``threshold`` are equal in a link: a key is a line without one piece, or
-without two.  A key of that index again pairs out no more lines than the next
-one has keys, so the work for a line is bounded however many are like it; at
-pieces of one byte what meets is a link but for a byte or two.  No group of near copies is compared
-pair by pair, and no link is lost.  (Thresholds above two have no finer index:
+A key that more than ``crowd`` lines share isn't paired out.  Its lines go to a
+finer index, of 8 pieces of which all but ``threshold`` are equal in a link: a
+key is a line without one piece, or without two.  A key of that index that is
+crowded again is refined by itself: each of the pieces it leaves out (holes) is
+split in ``SPLIT``, and a line's next keys keep all of them but one of each hole,
+or one or two of an only hole.  So on until no key is crowded or holes are single
+bytes, where what meets is a link but for a byte or two.  A line pairs out at
+most ``crowd`` others at a key, no group of near copies is compared pair by pair,
+and no link is lost.  (Thresholds above two have no finer index:
 they pair out crowded keys and are not for production.)
 
 A line goes if an earlier line (by doc_id, then place) is equal or linked to
@@ -38,6 +40,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import cut, only, partitions, release, shared_dir
 
 CROWD = 64
+#: Pieces of the finer index, and parts of each hole of a key that is refined.
+PIECES, SPLIT = 8, 4
 BLANKS = " \t\r\x0b\x0c"
 ID = ("h1", "h2")
 #: Bytes whose counts are compared, by being odd or even, before two lines are.
@@ -104,8 +108,18 @@ def n_keys(pieces: int, threshold: int) -> int:
     return (threshold + 1) * pieces + (0 if threshold == 1 else 5 * pieces * (pieces - 1) // 2)
 
 
+#: Which shifts two holes can have between them, by how much longer the probing line is.
+SHIFTS = {0: (0, 1), 1: (0, 1), 2: (1,)}
+
+
+def hole(a: Column, b: Column, c: Column, e: Column, s: int | Column, d: int | Column) -> Column:
+    """The bytes (places of the index's line) that a key leaves out: a to b and, unless null, c to e; a probing line has ``s`` bytes more before b, ``d`` in all."""
+    named = {"a": a, "b": b, "c": c, "e": e, "s": s, "d": d}
+    return F.struct(*[(x if isinstance(x, Column) else F.lit(x)).cast("int").alias(n) for n, x in named.items()])
+
+
 def hole_keys(classes: DataFrame, pieces: int, threshold: int) -> DataFrame:
-    """The same, for ``pieces`` pieces of which as many as the threshold may differ; a line has no more pieces than bytes.
+    """The same, and the holes of each key, for ``pieces`` pieces of which as many as the threshold may differ; a line has no more pieces than bytes.
 
     Pieces are those of the index's line.  A line that is ``d`` longer is read
     as if it had ``d`` bytes more before the end of its only hole, or ``s`` of
@@ -122,34 +136,80 @@ def hole_keys(classes: DataFrame, pieces: int, threshold: int) -> DataFrame:
             return F.floor(m.cast("long") * j / k).cast("int")
 
         def one(i: Column) -> Column:
-            return marked(F.xxhash64(F.lit(pieces), m, edge(i), F.lit(-1), piece(content, F.lit(0), edge(i)), piece(content, edge(i + 1) + d, m - edge(i + 1))), d == 0)
+            key = marked(F.xxhash64(F.lit(pieces), m, edge(i), F.lit(-1), piece(content, F.lit(0), edge(i)), piece(content, edge(i + 1) + d, m - edge(i + 1))), d == 0)
+            return F.struct(key.alias("key"), hole(edge(i), edge(i + 1), F.lit(None), F.lit(None), d, d).alias("hole"))
 
         def two(s: int) -> Column:
             def key(i: Column, j: Column) -> Column:
                 start, end, start2, end2 = edge(i), edge(i + 1), edge(j), edge(j + 1)
-                return marked(F.xxhash64(F.lit(pieces), m, start, start2, piece(content, F.lit(0), start), piece(content, end + s, start2 - end), piece(content, end2 + d, m - end2)), d == 0 and s == 0)
+                key = marked(F.xxhash64(F.lit(pieces), m, start, start2, piece(content, F.lit(0), start), piece(content, end + s, start2 - end), piece(content, end2 + d, m - end2)), d == 0 and s == 0)
+                return F.struct(key.alias("key"), hole(start, end, start2, end2, s, d).alias("hole"))
 
             firsts = F.when(k > 1, F.sequence(F.lit(0), k - 2)).otherwise(F.array().cast("array<int>"))
             return F.flatten(F.transform(firsts, lambda i: F.transform(F.sequence(i + 1, k - 1), lambda j: key(i, j))))
 
         keys = F.transform(F.sequence(F.lit(0), k - 1), one)
         if threshold == 2:
-            keys = F.concat(keys, *[two(s) for s in {0: (0, 1), 1: (0, 1), 2: (1,)}[d]])
-        parts.append(classes.where(m > 0).select(*ID, F.explode(keys).alias("key")))
+            keys = F.concat(keys, *[two(s) for s in SHIFTS[d]])
+        parts.append(classes.where(m > 0).select(*ID, F.inline(keys)))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
+def finer_keys(crowded: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """h1, h2, odd, key, hole: for each crowded key those that leave out less of its holes."""
+    rows = crowded.select(*ID, "key", "odd", "hole").hint("shuffle_hash").join(classes.select(*ID, "content"), list(ID))
+    content, place, own = F.col("content"), F.shiftright("key", 1), F.col("key").bitwiseAND(F.lit(1)) == 1
+    a, b, c, e, s, d = (F.col("hole")[x] for x in "abcesd")
+
+    def parts(start: Column, end: Column) -> Column:
+        n = F.least(F.lit(SPLIT), end - start)
+        edge = lambda u: (start + F.floor((end - start).cast("long") * u / n)).cast("int")
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda u: F.struct(edge(u).alias("x"), edge(u + 1).alias("y")))
+
+    def entry(indexed: Column, out: Column, *kept: Column) -> Column:
+        key = F.xxhash64(place, out["a"], out["b"], out["c"], out["e"], *kept)
+        return F.struct(F.when(indexed, marked(key, True)).otherwise(marked(key, False)).alias("key"), out.alias("hole"))
+
+    def one(p: Column) -> Column:
+        return entry(own, hole(p["x"], p["y"], F.lit(None), F.lit(None), s, d), piece(content, a, p["x"] - a), piece(content, p["y"] + d, b - p["y"]))
+
+    def two(p: Column, q: Column, shift: int) -> Column:  # of one hole
+        out = hole(p["x"], p["y"], q["x"], q["y"], shift, d)
+        return entry(own & F.lit(shift == 0), out, piece(content, a, p["x"] - a), piece(content, p["y"] + shift, q["x"] - p["y"]), piece(content, q["y"] + d, b - q["y"]))
+
+    def each(p: Column, q: Column) -> Column:  # of two
+        return entry(own, hole(p["x"], p["y"], q["x"], q["y"], s, d), piece(content, a, p["x"] - a), piece(content, p["y"] + s, b - p["y"]), piece(content, c + s, q["x"] - c), piece(content, q["y"] + d, e - q["y"]))
+
+    def pairs(ps: Column, shift: int) -> Column:
+        return F.flatten(F.transform(ps, lambda p: F.transform(F.filter(ps, lambda q: q["x"] > p["x"]), lambda q: two(p, q, shift))))
+
+    def single(ps: Column) -> Column:
+        found = F.transform(ps, one)
+        if threshold < 2:
+            return found
+        none = F.slice(found, 1, 0)
+        return F.concat(found, *[F.when(d.isin([x for x in SHIFTS if shift in SHIFTS[x]]), pairs(ps, shift)).otherwise(none) for shift in (0, 1)])
+
+    double = F.flatten(F.transform(parts(a, b), lambda p: F.transform(parts(c, e), lambda q: each(p, q))))
+    return rows.select(*ID, "odd", F.inline(F.when(c.isNull(), let(parts(a, b), single)).otherwise(double)))
+
+
 def meetings(keys: DataFrame, classes: DataFrame, crowd: int | None) -> DataFrame:
-    """h1, h2, odd, key and whether too many index entries share the key; rows that meet nothing are left out."""
+    """h1, h2, odd, key (and hole) and whether too many index entries share a key that can be refined; rows that meet nothing are left out."""
     same = Window.partitionBy(F.shiftright("key", 1).alias("place"))
     entries = F.sum(F.col("key").bitwiseAND(F.lit(1))).over(same)
     met = keys.withColumn("entries", entries).withColumn("rows", F.count("*").over(same)).where("entries > 0 and rows > 1")
-    met = met.select(*ID, "key", (F.col("entries") > (crowd or 1 << 62)).alias("crowded"))
-    met = met.hint("shuffle_hash").join(classes.select(*ID, "content"), list(ID))  # few are left
-    return cut(met.select(*ID, "key", "crowded", odd(F.col("content").cast("string")).alias("odd")), "met")
+    crowded, more = F.col("entries") > (crowd or 1 << 62), [c for c in ("odd", "hole") if c in keys.columns]
+    if "hole" in more:  # single bytes can't be split
+        crowded = crowded & (F.col("hole.b") - F.col("hole.a") + F.coalesce(F.col("hole.e") - F.col("hole.c"), F.lit(1)) > 2)
+    met = met.select(*ID, "key", crowded.alias("crowded"), *more)
+    if "odd" not in more:
+        met = met.hint("shuffle_hash").join(classes.select(*ID, "content"), list(ID))  # few are left
+        met = met.withColumn("odd", odd(F.col("content").cast("string"))).drop("content")
+    return cut(met, "met")
 
 
 def paired(met: DataFrame, threshold: int) -> DataFrame:
@@ -165,22 +225,19 @@ def paired(met: DataFrame, threshold: int) -> DataFrame:
 
 def candidates(classes: DataFrame, threshold: int, crowd: int) -> DataFrame:
     """Distinct a1, a2, b1, b2 that hold all links."""
-    pieces = 8
     met = meetings(segment_keys(classes, threshold), classes, crowd if threshold <= 2 else None)
-    found = paired(met, threshold)
-    while threshold <= 2:
+    found, crowded = paired(met, threshold), met.where("crowded")
+    if threshold <= 2 and crowded.limit(1).count():
         release(classes.sparkSession)
-        crowded = met.where("crowded").select(*ID).distinct()
-        longest = crowded.join(classes, list(ID)).agg(F.max(F.length("content"))).first()[0]
-        if longest is None:
-            break
-        fine = crowded.hint("shuffle_hash").join(classes, list(ID)).select(*ID, "content")
-        last = pieces >= longest
-        met = meetings(hole_keys(fine, pieces, threshold), fine, None if last else max(crowd, n_keys(4 * pieces, threshold) if crowd >= CROWD else crowd))
-        found = found.unionByName(paired(met, threshold))
-        if last:
-            break
-        pieces *= 4
+        fine = crowded.select(*ID).distinct().hint("shuffle_hash").join(classes, list(ID)).select(*ID, "content")
+        keys = hole_keys(fine, PIECES, threshold)
+        while True:
+            met = meetings(keys, classes, crowd)
+            found, crowded = found.unionByName(paired(met, threshold)), met.where("crowded")
+            if not crowded.limit(1).count():
+                break
+            release(classes.sparkSession)
+            keys = finer_keys(crowded, classes, threshold)
     turned = F.expr("a1 < b1 or a1 = b1 and a2 < b2")
     ends = [F.when(turned, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a1", "b1"), ("a2", "b2"), ("b1", "a1"), ("b2", "a2"))]
     return found.select(*ends).distinct()

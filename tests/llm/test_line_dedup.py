@@ -72,6 +72,23 @@ def test_crowded_keys_are_refined_and_lose_nothing(spark, threshold):
     assert found(spark, docs, crowd=3, threshold=threshold) == brute(docs, threshold, 16)
 
 
+@pytest.mark.parametrize("threshold", [1, 2])
+def test_crowded_keys_of_the_finer_index_are_refined(spark, threshold):
+    """Lines that differ in two words alone share a key of the finer index, and aren't compared with each other."""
+    rng = random.Random(6)
+    stem = "depots {} opens again on the third {} by day"  # 48 bytes; each word in a piece of its own
+    word = lambda: "".join(rng.choice("ABCDEFGHIJKLMNOPQ") for _ in range(4))
+    lines = {stem.format(word(), word() if threshold == 2 else "MAYS") for _ in range(90)}
+    for line in sorted(lines)[:8]:
+        lines.add("".join(rng.choice("XYZ") if k in (rng.choice([8, 9]), 38) else c for k, c in enumerate(line)))
+        lines.add(line[:9] + line[10:])
+    docs = list(enumerate(sorted(lines)))
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    classes = line_dedup.classes_of(line_dedup.lines_of(rows, 16))
+    assert line_dedup.candidates(classes, threshold, 64).count() < 10 * len(lines)
+    assert found(spark, docs, threshold=threshold) == brute(docs, threshold, 16)
+
+
 @pytest.mark.parametrize("pieces, threshold", [(8, 1), (8, 2), (64, 2)])
 def test_finer_keys_meet_all_links(spark, pieces, threshold):
     rng = random.Random(pieces)
