@@ -1,3 +1,4 @@
+import random
 import re
 
 import corpus_pipeline
@@ -7,6 +8,8 @@ from test_line_dedup import brute as removed_lines
 from test_minhash_forest import brute as near_duplicates
 from test_single_pass import check_packing
 
+from lodestone.llm import line_dedup
+
 DATA = "/root/testdata/sf0.001"
 
 
@@ -58,6 +61,23 @@ def test_lines(steps):
     assert counts == 0
 
 
+def test_lines_of_a_crowd_are_not_paired_out(spark, monkeypatch):
+    """Lines that differ in two words alone: the stage compares few of them, and removes what is linked."""
+    rng, met, candidates = random.Random(8), [], line_dedup.candidates
+    word = lambda: "".join(rng.choice("ABCDEFGHIJKLMNOPQ") for _ in range(4))
+    docs = [(k, f"depots {word()} opens again on the third {word()} by day") for k in range(90)]
+    docs += [(100 + k, docs[k][1][:8] + "XYZ"[k % 3] + docs[k][1][9:]) for k in range(6)]
+
+    def counted(*args):
+        met.append(candidates(*args))
+        return met[-1]
+
+    monkeypatch.setattr(line_dedup, "candidates", counted)
+    out = corpus_pipeline.lines(spark, spark.createDataFrame(docs, "doc_id long, text string"), DATA)
+    assert set(texts(out)) == {d for d, _, *_, removed in removed_lines(docs, 2, 16) if not removed} == set(range(90))
+    assert [m.count() < 10 * len(docs) for m in met] == [True]
+
+
 def test_near_duplicates(steps):
     before, after = (texts(d) for d in steps["near_duplicates"])
     assert set(after) == {d for d, *_, kept in near_duplicates(list(before.items()), 5, 80) if kept}
