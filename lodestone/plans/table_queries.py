@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import generic as G
+from lodestone.operators.shared_windows import shared_windows
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -262,9 +263,7 @@ def comparison_qualified(t) -> DataFrame:
     " g as (select h from h group by h having count(distinct doc_id) > 1) select doc_id, count(distinct h) as n_shared from h where h in (select h from g) group by 1"
 )
 def ngram_duplicate_groups(t) -> DataFrame:
-    windows = t("documents").select("doc_id", F.explode(F.array_distinct(G.windows_of(G.words_in(F.col("text")), 50))).alias("h"))
-    shared = windows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    return windows.join(shared, "h").groupBy("doc_id").agg(F.count("*").alias("n_shared"))
+    return shared_windows(t("documents"), "doc_id", "text")
 
 
 @query(
