@@ -42,7 +42,7 @@ class Engine:
         edges = self._save(rules.import_edges(code))
         detectors = {
             "high_degree": lambda: rules.high_degree(code, edges), "cycles": lambda: rules.cycles(edges), "layer_violations": lambda: rules.layer_violations(edges), "sizes": lambda: rules.sizes(code), "structure": lambda: rules.structure(code),
-            "responsibilities": lambda: rules.responsibilities(code, edges), "duplicates": lambda: rules.duplicates(python_code.bodies(files, code)), "dependencies": lambda: rules.dependency_rules(deps, code, advisories),
+            "responsibilities": lambda: rules.responsibilities(code, edges), "duplicates": lambda: rules.duplicates(python_code.bodies(files)), "dependencies": lambda: rules.dependency_rules(deps, code, advisories),
             "security": lambda: rules.security_rules(code), "authorization": lambda: rules.authorization(code), "secrets": lambda: rules.hardcoded_secrets(files),
         }
         found, failed = evaluation.isolated(detectors, self._save)

@@ -35,6 +35,11 @@ def numbered(df: DataFrame, scope: list[str], order: list[str], name: str = "fin
     return df.join(starts, met).withColumn(name, F.format_string(pattern, (F.col("__before") + place).cast("long"))).select(*df.columns, name)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows of a small table that much work is done on, in as many tasks as a shuffle has: a table of few bytes is otherwise read, and worked on, by one."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def budget(df: DataFrame, order: list[Column], most: int) -> tuple[DataFrame, DataFrame]:
     """The first ``most`` rows of a total order, and one row that tells how many were left out.
 
@@ -63,9 +68,8 @@ def degrees(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     Each figure is one distinct count over one exchange of the edges.
     """
     real = edges.where("src <> dst").select("src", "dst").distinct()
-    both = real.select(F.col("src").alias("node"), F.col("dst").alias("other"), F.lit(1).alias("is_out"), F.lit(0).alias("is_in")).unionByName(
-        real.select(F.col("dst").alias("node"), F.col("src").alias("other"), F.lit(0).alias("is_out"), F.lit(1).alias("is_in"))
-    )
+    side = lambda node, other, out: F.struct(F.col(node).alias("node"), F.col(other).alias("other"), F.lit(out).alias("is_out"), F.lit(1 - out).alias("is_in"))
+    both = real.select(F.inline(F.array(side("src", "dst", 1), side("dst", "src", 0))))
     found = both.groupBy("node", "other").agg(F.max("is_out").alias("is_out"), F.max("is_in").alias("is_in")).groupBy("node")
     out = found.agg(F.sum("is_out").cast("long").alias("fan_out"), F.sum("is_in").cast("long").alias("fan_in"), F.count("*").alias("coupling"))
     return out if nodes is None else nodes.join(out, "node", "left").na.fill(0, ["fan_out", "fan_in", "coupling"])
