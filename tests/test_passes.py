@@ -14,6 +14,7 @@ def test_made_files_are_dealt(spark):
 # of each query: how many times its plan parses the files at most
 PASSES = {
     "security_rules": 1,
+    "findings_summary": 2,
 }
 
 
