@@ -15,6 +15,7 @@ def test_made_files_are_dealt(spark):
 PASSES = {
     "security_rules": 1,
     "findings_summary": 2,
+    "structure_rules": 4,
 }
 
 
