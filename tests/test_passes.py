@@ -16,6 +16,7 @@ PASSES = {
     "security_rules": 1,
     "findings_summary": 2,
     "structure_rules": 4,
+    "duplicate_candidates": 4,
 }
 
 
