@@ -17,6 +17,7 @@ PASSES = {
     "findings_summary": 2,
     "structure_rules": 4,
     "duplicate_candidates": 4,
+    "import_graph": 3,
 }
 
 
