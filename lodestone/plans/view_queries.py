@@ -294,7 +294,7 @@ def advisory_records(t) -> DataFrame:
 )
 def source_masking(t) -> DataFrame:
     line = F.concat(F.lit("x"), "k", F.lit(' = f"a#'), "k", F.lit("\\\"(\" + 'it, "), "p_size", F.lit("' # it"))
-    lines = t("part").select(F.col("p_partkey").alias("k"), "p_size").withColumn("text", line)
+    lines = G.dealt(t("part").select(F.col("p_partkey").alias("k"), "p_size"), "k").withColumn("text", line)
     return lines.select("k", S.strings_emptied(F.col("text")).alias("emptied"), S.blanked(F.col("text")).alias("blank"), S.without_comment(F.col("text")).alias("line"))
 
 
@@ -304,7 +304,7 @@ def source_masking(t) -> DataFrame:
 )
 def call_arguments(t) -> DataFrame:
     lines = F.array(F.lit("# ("), F.concat(F.lit("y = open(p"), "k", F.lit(', "a,('), "p_size", F.lit('", # one, (two')), F.lit("  g(1, [2, 3]), mode=(4, )).read(1)"), F.lit("z"))
-    calls = t("part").select(F.col("p_partkey").alias("k"), "p_size").select("k", S.call_span(lines, F.lit(2), F.lit(4)).alias("span"))
+    calls = G.dealt(t("part").select(F.col("p_partkey").alias("k"), "p_size"), "k").select("k", S.call_span(lines, F.lit(2), F.lit(4)).alias("span"))
     return calls.select("k", "span", F.array_join(S.arguments(F.col("span")), " | ").alias("arguments"))
 
 

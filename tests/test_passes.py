@@ -2,7 +2,7 @@
 
 import pytest
 
-from lodestone.plans import code_queries
+from lodestone.plans import code_queries, registry
 
 DATA = "/root/testdata/sf0.001"
 
@@ -25,3 +25,8 @@ PASSES = {
 def test_files_are_parsed_few_times(spark, name):
     plan = code_queries.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert 1 <= plan.count("MapInArrow") <= PASSES[name]
+
+
+@pytest.mark.parametrize("name", ["call_arguments", "source_masking"])
+def test_rows_of_a_small_table_are_dealt(spark, name):
+    assert registry.QUERIES[name](spark, DATA).rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
